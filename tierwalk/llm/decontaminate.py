@@ -105,7 +105,7 @@ class Automaton:
         return twin
 
     def scan(self, words: list[bytes]) -> tuple[int, set[int], list[tuple[int, int]]]:
-        """Longest match, items, and hit runs of words (end exclusive, merged)."""
+        """Longest match (0 if shorter than any window), items, and hit runs of words (end exclusive)."""
         longest, items, spans = 0, set(), []
         ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
         # Only runs whose neighbouring words also stand together in an item can hold a window; elsewhere matches stay short.
@@ -138,7 +138,7 @@ class Automaton:
                             while spans and spans[-1][1] >= s:
                                 s = min(s, spans.pop()[0])
                         spans.append((s, i + 1))
-        return longest, items, spans
+        return longest if longest >= self.shortest else 0, items, spans
 
 
 def shards(benchmark: DataFrame, most: int = SHARD_WORDS, width: int = WIDTH) -> Iterator[Automaton]:

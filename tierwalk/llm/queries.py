@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierwalk.llm import decontaminate, pii
-from tierwalk.llm.common import table
+from tierwalk.llm import decontaminate, language, pii, quality, tiff
+from tierwalk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,3 +27,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(tiff.store_texts(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    return language.by_fold(language.predict(docs, language.train(docs, ~fold)), fold)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), ~fold))
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
