@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import decontaminate, language, near, packing, pii, quality, tiff
+from tierwalk.llm import decontaminate, language, near, packing, pii, quality, repeats, tiff
 from tierwalk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find(table(spark, sf_dir, "documents"), k=4, least=80)
+
+
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
