@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import decontaminate, language, near, packing, pii, quality, repeats, tiff
+from tierwalk.llm import decontaminate, language, near, packing, pii, quality, repeats, secrets, tiff, toxicity
 from tierwalk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,14 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    return toxicity.by_fold(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~fold)), fold)
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
