@@ -6,11 +6,14 @@ writes what a stage returns as Parquet in the shared folder and hands the reread
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tierwalk.llm import decontaminate, near, packing, pii, quality
 from tierwalk.llm.common import held_out, materialise, table
+from tierwalk.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +43,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def _stage(f):
+    """The stage, after the package is sent to the workers."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", keep_quality),
-    ("near_duplicates", one_of_each),
-    ("decontamination", without_benchmark),
-    ("pii", without_personal_data),
-    ("packing", packed),
+    ("quality", _stage(keep_quality)),
+    ("near_duplicates", _stage(one_of_each)),
+    ("decontamination", _stage(without_benchmark)),
+    ("pii", _stage(without_personal_data)),
+    ("packing", _stage(packed)),
 ]
 
 #: Fitted models and packing cannot be said in SQL; tests hold each stage against a plain version.
