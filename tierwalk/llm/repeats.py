@@ -3,11 +3,12 @@
 A window is `width` consecutive words of one document. Equal windows contain the same least phrase of `PHRASE` words (by
 hash, leftmost of ties), so a window can only recur if that phrase does.
 
+0. Exact copies of a text with a smaller id lose all windows at once; only the first copy goes on.
 1. Each document names its windows' least phrases; phrases counted twice or more recur.
 2. Documents are dealt to shards by their id. Each shard compiles its recurring phrases into an Aho-Corasick automaton
    over words and streams its documents through it; every window around an occurrence is a candidate. Documents without
    candidates are final.
-3. Candidates are counted by a 128-bit hash of their words, with the first place where each stands; those counted twice
+3. Candidates are counted by a 96-bit hash of their words, with the first place where each stands; those counted twice
    confirm a recurring passage.
 4. Each shard marks, in its remaining documents, every window that also starts earlier, and drops the words it covers.
 
@@ -34,11 +35,14 @@ from tierwalk.llm.common import U64, WordIds, materialise, mix, rolling, rows_of
 
 WIDTH, PHRASE = 20, 10
 SHARD_BYTES = 8_000_000
+#: Ids of copies that may be broadcast; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 LAST = np.iinfo(np.int64).max
 _WORDS = WordIds()
-STEP2 = "shard int, kind int, doc_id long, n_words long, kept_sha256 string, text binary, w1 long, w2 long, at long, start int, n int"
+STEP2 = "shard int, kind int, doc_id long, n_words long, kept_sha256 string, text binary, w1 long, w2 int, at long, start int, n int"
+_S2 = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int32()), ("at", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_S2 = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def least_phrases(hashes: np.ndarray, width: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,77 +61,87 @@ def least_phrases(hashes: np.ndarray, width: int, phrase: int) -> tuple[np.ndarr
 
 
 def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each window's words."""
-    return mix(rolling(hashes, width)), mix(rolling(mix(hashes ^ U64(0x5851F42D4C957F2D)), width, 0xD1342543DE82EF95))
+    """A 64-bit and a 32-bit hash of each window's words."""
+    return mix(rolling(hashes, width)), (mix(rolling(mix(hashes ^ U64(0x5851F42D4C957F2D)), width, 0xD1342543DE82EF95)) >> U64(32)).astype(np.uint32)
 
 
-def _phrases(docs: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(shard, h, n): the least phrases of each document's windows, n at most two."""
+class Words:
+    """Texts as one run of word hashes; 0 stands after each text."""
+
+    def __init__(self, found: list[bytes]):
+        self.words = [t.split() for t in found]
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
+        self.hashes = np.zeros(int(lengths.sum()) + len(lengths), U64)
+        for s, words in zip(self.first.tolist(), self.words, strict=True):
+            self.hashes[s : s + len(words)] = _WORDS.of(words)
+        self.number = np.repeat(np.arange(len(lengths)), lengths + 1)
+
+    def valid(self, width: int) -> np.ndarray:
+        """Whether a window can start at each place: the word `width - 1` on belongs to the same text."""
+        n = len(self.hashes) - width + 1
+        return (self.number[:n] == self.number[width - 1 :]) & (self.hashes[width - 1 :] > 0) if n > 0 else np.empty(0, bool)
+
+    def least(self, width: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all phrases, and the places of those that are the least of a window."""
+        ok = self.valid(width)
+        if not ok.any():
+            return np.empty(0, U64), np.empty(0, np.int64)
+        g, at = least_phrases(self.hashes, width, phrase)
+        at = at[ok]
+        return g, np.unique(at[np.concatenate(([True], at[1:] != at[:-1]))])
+
+
+def _phrases(docs: DataFrame, width: int, phrase: int, bits: int) -> DataFrame:
+    """(shard, h): one row for each place of a least phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            shards, found, counts = [], [], []
-            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or b"").split()
-                if len(words) < width:
-                    continue
-                g, at = least_phrases(_WORDS.of(words), width, phrase)
-                h, n = np.unique(g[at[np.concatenate(([True], at[1:] != at[:-1]))]], return_counts=True)
-                shards.append(np.full(len(h), shard, np.int32))
-                found.append(h.view(np.int64))
-                counts.append(np.minimum(n, 2).astype(np.int32))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, found, counts)], names=["shard", "h", "n"])
+            w = Words([t or b"" for t in batch.column(1).to_pylist()])
+            g, at = w.least(width, phrase)
+            shard = batch.column(0).to_numpy()[w.number[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array((g[at] >> U64(64 - bits)).view(np.int64))], names=["shard", "h"])
 
-    return docs.select("shard", "text").mapInArrow(run, "shard int, h long, n int")
+    return docs.select("shard", "text").mapInArrow(run, "shard int, h long")
 
 
-class Shard:
-    """Documents of one shard as one run of word numbers; 0 stands between documents."""
+DIGITS = 6  # bits of a letter that a word's number is written in
+
+
+class Shard(Words):
+    """Documents of one shard."""
 
     def __init__(self, ids: list[int | None], found: list[bytes]):
-        self.words = [t.split() for t in found]
-        numbers: dict[bytes, int] = {}
-        for words in self.words:
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers) + 1
-        lengths = np.array([len(w) for w in self.words])
-        self.seq = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
-        self.first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-        for s, words in zip(self.first.tolist(), self.words, strict=True):
-            self.seq[s : s + len(words)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.hashes = np.concatenate((np.zeros(1, U64), WordIds(len(numbers) + 1).of(list(numbers))))[self.seq]
-        self.number = np.repeat(np.arange(len(lengths)), lengths + 1)
+        super().__init__(found)
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
 
-    def valid(self, width: int) -> np.ndarray:
-        """Whether a window can start at each place: the word `width - 1` on belongs to the same document."""
-        n = len(self.seq) - width + 1
-        return (self.number[:n] == self.number[width - 1 :]) & (self.seq[width - 1 :] > 0) if n > 0 else np.empty(0, bool)
+    def letters(self) -> tuple[str, int]:
+        """The run of words in letters, so many a word: nodes of the automaton then have few branches."""
+        _, number = np.unique(self.hashes, return_inverse=True)
+        size = max(1, -(-int(number.max(initial=1)).bit_length() // DIGITS))
+        places = np.arange(size) * DIGITS
+        return (((number[:, None] >> places) & ((1 << DIGITS) - 1)) + 48).astype(np.uint8).tobytes().decode("latin-1"), size
 
-    def candidates(self, recurring: np.ndarray, width: int, phrase: int) -> np.ndarray:
+    def candidates(self, recurring: np.ndarray, width: int, phrase: int, bits: int) -> np.ndarray:
         """Places of the windows that hold an occurrence of a recurring phrase."""
         import ahocorasick
 
-        ok = self.valid(width)
-        if not ok.any() or not len(recurring):
-            return np.empty(0, np.int64)
-        g, at = least_phrases(self.hashes, width, phrase)
-        at = np.unique(at[ok])
-        at = at[np.isin(g[at], recurring)]
+        g, at = self.least(width, phrase)
+        at = at[np.isin((g[at] >> U64(64 - bits)).view(np.int64), recurring)]
         if not len(at):
             return np.empty(0, np.int64)
         _, one = np.unique(g[at], return_index=True)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for p in at[one].tolist():
-            automaton.add_word(tuple(self.seq[p : p + phrase].tolist()))
+        text, size = self.letters()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in (at[one] * size).tolist():
+            automaton.add_word(text[p : p + phrase * size])
         automaton.make_automaton()
-        ends = np.fromiter((e for e, _ in automaton.iter(tuple(self.seq.tolist()))), np.int64)
-        starts = ends - phrase + 1
-        change = np.zeros(len(self.seq) + 1, np.int32)
+        ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64) + 1
+        starts = ends[ends % size == 0] // size - phrase
+        change = np.zeros(len(self.hashes) + 1, np.int32)
         np.add.at(change, np.maximum(starts - (width - phrase), 0), 1)
         np.add.at(change, starts + 1, -1)
+        ok = self.valid(width)
         return np.flatnonzero((np.cumsum(change)[: len(ok)] > 0) & ok)
 
 
@@ -139,7 +153,7 @@ def _table(columns: dict, n: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _S2], schema=_S2)
 
 
-def _locate(width: int, phrase: int):
+def _locate(width: int, phrase: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table({}, 0)
@@ -147,7 +161,7 @@ def _locate(width: int, phrase: int):
         texts = [t or b"" for t in left.column("text").to_pylist()]
         ids = left.column("doc_id").to_pylist()
         s = Shard(ids, texts)
-        at = s.candidates(right.column("h").to_numpy().view(U64), width, phrase)
+        at = s.candidates(right.column("h").to_numpy(), width, phrase, bits)
         touched = set(np.unique(s.number[at]).tolist())
         done = [i for i in range(len(ids)) if i not in touched]
         rest = sorted(touched)
@@ -163,7 +177,7 @@ def _locate(width: int, phrase: int):
             new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
             n = np.minimum(np.diff(np.concatenate((np.flatnonzero(new), [len(w1)]))), 2)
             m = len(n)
-            out.append(_table({"shard": np.full(m, shard, np.int32), "kind": np.full(m, 2, np.int32), "w1": w1[new].view(np.int64), "w2": w2[new].view(np.int64), "at": doc[new], "start": start[new].astype(np.int32), "n": n.astype(np.int32)}, m))
+            out.append(_table({"shard": np.full(m, shard, np.int32), "kind": np.full(m, 2, np.int32), "w1": w1[new].view(np.int64), "w2": w2[new].view(np.int32), "at": doc[new], "start": start[new].astype(np.int32), "n": n.astype(np.int32)}, m))
         return pa.concat_tables(out)
 
     return run
@@ -172,14 +186,15 @@ def _locate(width: int, phrase: int):
 def _marks(ids: np.ndarray, s: Shard, known: pa.Table, width: int) -> np.ndarray:
     """For each word of the shard whether a window that also starts earlier covers it."""
     ok = np.flatnonzero(s.valid(width))
-    gone = np.zeros(len(s.seq) + 1, np.int32)
+    gone = np.zeros(len(s.hashes) + 1, np.int32)
     if len(ok) and known.num_rows:
         k1, k2, kd, ks = (known.column(c).to_numpy() for c in ("w1", "w2", "first_at", "first_start"))
         order = np.lexsort((k2, k1))
         k1, k2, kd, ks = k1[order], k2[order], kd[order], ks[order]
-        w1, w2 = (w[ok].view(np.int64) for w in windows(s.hashes, width))
+        w1, w2 = windows(s.hashes, width)
+        w1, w2 = w1[ok].view(np.int64), w2[ok].view(np.int32)
         lo, hi = np.searchsorted(k1, w1, "left"), np.searchsorted(k1, w1, "right")
-        place = np.full(len(ok), -1)
+        place = np.full(len(ok), -1, np.int64)
         for j in range(int((hi - lo).max(initial=0))):  # over one only where first halves collide
             here = np.minimum(lo + j, len(k1) - 1)
             place = np.where((lo + j < hi) & (k2[here] == w2), here, place)
@@ -195,10 +210,8 @@ def _marks(ids: np.ndarray, s: Shard, known: pa.Table, width: int) -> np.ndarray
 
 def _drop(width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in DIGEST.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         if not left.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+            return _DIGEST.empty_table()
         ids = left.column("doc_id").to_pylist()
         s = Shard(ids, left.column("text").to_pylist())
         gone = _marks(s.ids, s, right, width)
@@ -206,24 +219,51 @@ def _drop(width: int):
         for i, f, words in zip(ids, s.first.tolist(), s.words, strict=True):
             kept = [w for w, x in zip(words, gone[f : f + len(words)].tolist(), strict=True) if not x]
             rows.append((i, len(words), len(words) - len(kept), _hash(kept)))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
     return run
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the texts that also stand under a smaller id."""
+    sums = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("sum")).where("doc_id is not null and text is not null")
+    first = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return sums.join(first, "sum").where("doc_id > least").select("doc_id").distinct()
+
+
+def _gone(docs: DataFrame, width: int) -> DataFrame:
+    """DIGEST of copies: nothing stays of a text that has a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            words = [t.split() for t in batch.column(1).to_pylist()]
+            kept = [[] if len(w) >= width else w for w in words]
+            columns = [[len(w) for w in words], [len(w) - len(x) for w, x in zip(words, kept, strict=True)], [_hash(x) for x in kept]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_DIGEST)[1:], strict=True))], schema=_DIGEST)
+
+    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+
+
 def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """DIGEST of every row."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // shard_bytes))
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)").alias("shard"))
-    phrases = _phrases(base, width, phrase)
-    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    told = materialise(phrases.select("shard", "h").join(recurring, "h").select("shard", "h").distinct(), "phrases")
-    found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(width, phrase), STEP2), "located")
+    # Of a phrase's hash so many bits go round that chance makes few phrases equal: those only cost a look.
+    bits = min(63, max(24, size.bit_length() + 6))
+    copies = materialise(_copies(docs), "copies")
+    copies = F.broadcast(copies) if copies.count() <= MOST_SENT else copies
+    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    gone = _gone(base.join(copies, "doc_id", "left_semi"), width)
+    base = base.join(copies, "doc_id", "left_anti").withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)"))
+    phrases = _phrases(base, width, phrase, bits)
+    recurring = phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    told = materialise(phrases.join(recurring, "h").select("shard", "h").distinct(), "phrases")
+    found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(width, phrase, bits), STEP2), "located")
     by_window = Window.partitionBy("w1", "w2")
     first = found.where("kind = 2").select("shard", "w1", "w2", "at", "start", "n", F.sum("n").over(by_window).alias("all"), F.min(F.struct("at", "start")).over(by_window).alias("first"))
     # A shard whose only copy is the first one has nothing to remove for it.
     confirmed = first.where("all > 1 and not (n = 1 and first.at = at and first.start = start)").select("shard", "w1", "w2", F.col("first.at").alias("first_at"), F.col("first.start").alias("first_start"))
     left = found.where("kind = 1").select("shard", "doc_id", "text")
     dropped = left.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_drop(width), DIGEST)
-    return found.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(dropped)
+    whole = found.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    return whole.unionByName(dropped).unionByName(gone)
