@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.llm.common import materialise, rows_of
-from tierwalk.llm.tokens import Encoder
+from tierwalk.llm.tokens import encoder
 
 CAPACITY = 2048
 CELL, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 6, 10
 #: A bin with this share free takes part in the second round.
 ROOM = 1 / 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -44,7 +43,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encode = encoder(path)
         for batch in rows_of(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

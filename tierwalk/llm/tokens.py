@@ -8,38 +8,56 @@ texts that could hold a special token, go to the tokenizer whole.
 from __future__ import annotations
 
 import os
-import re
+import string
+import struct
+from functools import cache
 
-import numpy as np
-
-ODD = re.compile(r"[^\S \n]|  |\n\n| \n|\n |<\|")
+#: White space other than blanks and line ends, pairs of those, and what could start a special token.
+ODD = (*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", "\n\n", " \n", "\n ", "<|")
 #: Byte-level alphabets print each byte as one letter: printable Latin-1 as itself, the rest from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
     """Packed ids (little-endian uint32) of a word after `before`."""
 
     def __init__(self, tokenizer, before: str, most: int):
         super().__init__()
         self.tokenizer, self.before, self.most = tokenizer, before, most
-        self.marks = {m: self.packed(tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        self.first = before.translate(ALPHABET)
+        self.old: dict[str, bytes] = {}  # the words before the last time this one was full
+        self.marks: dict[str, bytes] = {}
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _encoded(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.marks and word[-2:-1].isalpha() and word[-2] < "ɐ":
-            return self[word[:-1]] + self.marks[word[-1]]
-        if word.isalpha() and max(word) < "ɐ":
+        base = word.rstrip(string.punctuation)
+        if len(base) < len(word) and base[-1:].isalpha():
+            # Marks after a letter are a piece of their own.
+            mark = word[len(base) :]
+            value = self.marks.get(mark)
+            if value is None:
+                value = self._encoded(mark)
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = value
+            return self[base] + value
+        value = self.old.get(word)
+        if value is not None:
+            pass
+        elif word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             # Letters alone are one piece for the merges.
-            piece = (self.before + word).encode().decode("latin-1").translate(ALPHABET)
-            value = self.packed([t.id for t in self.tokenizer.model.tokenize(piece)])
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+            value = packed([t.id for t in self.tokenizer.model.tokenize(self.first + piece)])
         else:
-            value = self.packed(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
+            value = self._encoded(self.before + word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[word] = value
         return value
@@ -52,14 +70,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.first, self.later = _Words(self.tokenizer, "", most // 4), _Words(self.tokenizer, " ", most)
-        self.line = _Words.packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.line = packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         """Ids of a text, packed."""
         if not text:
             return b""
-        if ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return _Words.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, ODD)):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out: list[bytes] = []
         for line in text.split("\n"):
             words = line.split(" ")
@@ -68,3 +86,9 @@ class Encoder:
             out.append(self.line)
         out.pop()
         return b"".join(out)
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a process, so that its words outlive a task."""
+    return Encoder(path)
