@@ -1,0 +1,23 @@
+"""An answer is rows and what they mean: whether they were cut, how many there are, and why there are none."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+
+@dataclass(frozen=True)
+class Answer:
+    rows: DataFrame
+    total_count: int
+    truncated: bool
+    reason: str
+    authoritative: bool = True
+
+
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0, *, measured: bool = True) -> Answer:
+    """A page of a total order; the count is of all rows. An empty page of a source that was not measured says so."""
+    total = rows.count()
+    reason = "ok" if total > offset else "past_end" if total else "empty" if measured else "not_measured"
+    return Answer(rows.orderBy(*order).offset(offset).limit(limit), total, total > offset + limit, reason, measured)

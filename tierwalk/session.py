@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +25,23 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(home.rglob("*.py")):
             z.write(p, os.path.join(home.name, p.relative_to(home)))
     context.addPyFile(str(at))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = set_before.get() if set_before.isDefined() else None
+    if not at:
+        at = tempfile.mkdtemp(prefix="tierwalk-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
