@@ -75,7 +75,7 @@ add("dotted_module_keys", r"SELECT key, count(*) n FROM (SELECT array_to_string(
 PAIRS = ", fp AS (SELECT DISTINCT e.file_path, n.file_path AS target_file FROM edges e JOIN nodes n ON e.target_qname = n.qualified_name), me AS (SELECT * FROM fp WHERE file_path <> target_file) "
 add("resolved_edge_file_pairs", PAIRS + "SELECT * FROM fp", R.file_pairs)
 add("module_edges", PAIRS + "SELECT * FROM me", R.module_edges)
-METIERS = ", st AS (SELECT source_qname, target_qname, min(tr) tr FROM ranked WHERE target_qname IS NOT NULL GROUP BY 1, 2), nf AS (SELECT DISTINCT qualified_name q, file_path f FROM nodes), mt AS (SELECT a.f source_file, b.f target_file, min(tr) tr FROM st JOIN nf a ON source_qname = a.q JOIN nf b ON target_qname = b.q WHERE a.f <> b.f GROUP BY 1, 2) "
+METIERS = ", st AS MATERIALIZED (SELECT source_qname, target_qname, min(tr) tr FROM ranked WHERE target_qname IS NOT NULL GROUP BY 1, 2), nf AS MATERIALIZED (SELECT DISTINCT qualified_name q, file_path f FROM nodes), mt AS MATERIALIZED (SELECT a.f source_file, b.f target_file, min(tr) tr FROM st JOIN nf a ON source_qname = a.q JOIN nf b ON target_qname = b.q GROUP BY 1, 2 HAVING a.f <> b.f) "
 add("module_edge_tiers", METIERS + f"SELECT source_file, target_file, {TIER.format('tr')} confidence_tier FROM mt", R.module_edge_tiers)
 add("include_neighbours", "SELECT DISTINCT path FROM (SELECT target_qname path FROM edges WHERE kind = 'INCLUDES' AND source_qname IN (SELECT path FROM files WHERE path LIKE 'supply/ASIA/%') UNION SELECT source_qname FROM edges WHERE kind = 'INCLUDES' AND target_qname IN (SELECT path FROM files WHERE path LIKE 'supply/ASIA/%'))", lambda g: R.include_neighbours(g, g.files.where("startswith(path, 'supply/ASIA/')").select("path")))
 add("file_paths_targeting", "SELECT DISTINCT file_path FROM edges WHERE target_qname IN (SELECT qualified_name FROM nodes WHERE file_path LIKE 'catalog/Brand_1/%')", lambda g: R.dependents(g, g.files.where("startswith(path, 'catalog/Brand_1/')").select("path")))

@@ -48,17 +48,29 @@ def save(graph: Graph, folder: str) -> None:
     spark.createDataFrame([("version", VERSION)], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
 
-def from_jsonl(spark: SparkSession, path: str) -> Graph:
-    """Adapter output: one JSON object a file with its nodes and edges. Repeated nodes of a file keep the first."""
+def raw_schema() -> str:
+    """Of adapter output: one object a file, with its nodes and edges."""
     node = "struct<kind:string,name:string,qualified_name:string,line_start:int,is_test:boolean>"
     edge = "struct<kind:string,source_qname:string,target_qname:string,target_raw:string,line:int,confidence_tier:string,args:array<string>>"
-    raw = spark.read.schema(f"path string, language string, hash string, parsed_ok boolean, nodes array<{node}>, edges array<{edge}>").json(path).where("path is not null")
+    return f"path string, language string, hash string, parsed_ok boolean, nodes array<{node}>, edges array<{edge}>"
+
+
+def from_rows(raw: DataFrame) -> Graph:
+    """Repeated nodes of a file keep the first; an empty target is an unlinked one."""
     files = raw.select("path", "language", "hash", F.coalesce("parsed_ok", F.lit(True)).alias("parsed_ok")).dropDuplicates(["path"])
     nodes = raw.select(F.col("path").alias("file_path"), F.posexplode("nodes").alias("seq", "n")).select("n.kind", "n.name", "n.qualified_name", "file_path", "n.line_start", F.coalesce("n.is_test", F.lit(False)).alias("is_test"), "seq")
     edges = raw.select(F.col("path").alias("file_path"), F.explode("edges").alias("e")).select("e.kind", "e.source_qname", F.expr("nullif(e.target_qname, '')").alias("target_qname"), "e.target_raw", "file_path", "e.line", F.coalesce("e.confidence_tier", F.lit(TIERS[0])).alias("confidence_tier"), "e.args")
     return Graph(files, keep_first(nodes), edges)
 
 
+def from_jsonl(spark: SparkSession, path: str) -> Graph:
+    return from_rows(spark.read.schema(raw_schema()).json(path).where("path is not null"))
+
+
+def empty(spark: SparkSession) -> Graph:
+    return Graph(*(spark.createDataFrame([], s) for s in (FILES, NODES, EDGES)))
+
+
 def keep_first(nodes: DataFrame) -> DataFrame:
     """The first of nodes of one name in one file, in the order of `seq`; nodes without a name all stay."""
     order = Window.partitionBy("qualified_name", "file_path").orderBy("seq")
