@@ -206,7 +206,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words:
 
 def digest(found: DataFrame) -> DataFrame:
     items = "array_join(array_sort(transform(items, x -> string(x))), ',')"
-    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint) n_items", f"sha2({items}, 256) items_sha256", "size(items) >= 2 contaminated", "max_match")
+    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint) n_items", f"sha2({items}, 256) items_sha256", "size(items) >= 2 contaminated")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -27,7 +27,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
 
 
 @query
@@ -72,3 +73,36 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op3_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') k FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(4, len(w)) + 2)) i) x WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+c AS MATERIALIZED (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id v, doc_id root FROM d UNION SELECT e.b, root FROM r JOIN e ON e.a = v)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(root) component_id, d.doc_id = min(root) kept FROM d JOIN r ON v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+ORACLE_SQL["op9_repeats"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
+k AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 19], ' ')) h, md5(array_to_string(w[i:i + 19], ' ')) m FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) i) x),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h, m ORDER BY doc_id, i) rn FROM k) WHERE rn > 1),
+p AS (SELECT doc_id, i, w[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) i) x),
+q AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) kept, count(g.i) gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(gone, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN q USING (doc_id)"""
+
+ORACLE_SQL["op10_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} w FROM documents),
+b AS (SELECT item_id, {_TERMS} w FROM benchmark WHERE item_id IS NOT NULL),
+v AS MATERIALIZED (SELECT DISTINCT item_id, least(8, len(w)) n, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') k FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(8, len(w)) + 2)) i) x WHERE len(w) > 0),
+o AS MATERIALIZED (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') k FROM d, (SELECT DISTINCT n FROM v) z, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) i) x),
+h AS MATERIALIZED (SELECT doc_id, i, o.n, item_id FROM o JOIN v USING (n, k)),
+t AS (SELECT doc_id, count(*) n_items, sha256(string_agg(id, ',' ORDER BY id)) digest FROM (SELECT DISTINCT doc_id, item_id::VARCHAR id FROM h) GROUP BY 1),
+c AS (SELECT doc_id, count(DISTINCT j) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) j FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(digest, sha256('')) items_sha256, coalesce(n_items, 0) >= 2 contaminated FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""
