@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tierwalk.functions import columns as C
 from tierwalk.operators import analytics as A
 from tierwalk.operators import compute as T
+from tierwalk.operators import definitions as N
+from tierwalk.operators import records as X
 from tierwalk.operators import relational as R
 from tierwalk.operators import resolve as L
 from tierwalk.operators import rules as U
@@ -218,3 +220,31 @@ QUERIES["canonical_routes"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir
 ORACLE_SQL["canonical_routes"] = r"SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || CASE WHEN regexp_matches(url, '[?&]page=[^&#]*') THEN '?' || regexp_extract(url, '[?&](page=[^&#]*)', 1) ELSE '' END AS route, count(*) n FROM pages GROUP BY 1"
 QUERIES["estimate_tokens"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.sum(C.estimate_tokens("text")).alias("tokens"))
 ORACLE_SQL["estimate_tokens"] = "SELECT lang, sum(ceil(length(text) / 4))::BIGINT tokens FROM documents GROUP BY 1"
+
+# Definitions and models
+
+add("find_implementations", "SELECT DISTINCT source_qname qualified_name, e.kind, n.file_path FROM edges e LEFT JOIN first_nodes n ON source_qname = qualified_name WHERE e.kind = 'EXTENDS' AND target_qname = 'part.3'", lambda g: N.implementations(g, "part.3"))
+add("descendants", ", ds AS (SELECT 'part.2' AS q, 0 AS level UNION ALL SELECT source_qname, level + 1 FROM ds JOIN edges ON kind = 'EXTENDS' AND target_qname = q WHERE level < 4) SELECT q qualified_name, min(level) AS level FROM ds WHERE level > 0 GROUP BY 1", lambda g: N.descendants(g, "part.2"))
+add("find_references_of_class", f", tg AS (SELECT 'cust.5' q UNION SELECT target_qname FROM edges WHERE kind = 'CONTAINS' AND source_qname = 'cust.5') SELECT source_qname, target_qname, file_path, line, confidence_tier FROM ranked WHERE kind IN {CALLERS} AND target_qname IN (SELECT q FROM tg) QUALIFY row_number() OVER (PARTITION BY source_qname ORDER BY tr, file_path, line, kind, target_raw) = 1", lambda g: N.member_callers(g, "cust.5"))
+add("class_diagram", "SELECT DISTINCT CASE WHEN kind = 'CONTAINS' THEN 'member' WHEN source_qname = 'part.4' THEN 'parent' ELSE 'subtype' END AS role, source_qname, target_qname FROM edges WHERE kind IN ('CONTAINS', 'EXTENDS') AND 'part.4' IN (source_qname, target_qname) AND target_qname IS NOT NULL", lambda g: N.class_model(g, "part.4"))
+add("er_model", "SELECT t.qualified_name AS table, t.file_path, (SELECT string_agg(name, ',' ORDER BY name) FROM nodes c WHERE c.kind = 'Column' AND split_part(c.qualified_name, '::', 1) = t.qualified_name) columns, (SELECT count(*) FROM edges WHERE kind = 'READS' AND split_part(target_qname, '::', 1) = t.qualified_name) reads, (SELECT count(*) FROM edges WHERE kind = 'WRITES' AND split_part(target_qname, '::', 1) = t.qualified_name) writes FROM nodes t WHERE kind = 'Table'", N.table_model)
+add("unresolved_callers_by_proximity", "SELECT DISTINCT source_qname, file_path, line, CASE WHEN starts_with(file_path, 'catalog/Brand_7/') THEN 2 WHEN starts_with(file_path, 'catalog/') THEN 1 ELSE 0 END AS shared FROM edges WHERE target_qname IS NULL AND target_raw = 'price_economy' ORDER BY shared DESC, file_path, line, source_qname LIMIT 20", lambda g: N.unresolved_near(g, "price_economy", "catalog/Brand_7/p1.prt"))
+add("definition_states", """, df AS (SELECT DISTINCT qualified_name, file_path, is_test, CASE WHEN starts_with(file_path, 'supply/') THEN 0 END AS rk FROM (SELECT 'x.' || name AS qualified_name, file_path, is_test, kind FROM nodes) WHERE kind = 'Class'), m AS (SELECT *, count(*) OVER w n, count(*) FILTER (NOT is_test) OVER w prod, count(*) FILTER (NOT is_test AND rk = 0) OVER w wins FROM df WINDOW w AS (PARTITION BY qualified_name))
+    SELECT qualified_name, file_path, CASE WHEN is_test AND prod > 0 THEN 'test_copy' WHEN prod = 1 THEN 'live' WHEN wins = 1 AND rk = 0 THEN 'live' WHEN wins = 1 THEN 'superseded' ELSE 'unranked' END state FROM m WHERE n > 1""", lambda g: N.states(Graph(g.files, g.nodes.where("kind = 'Class'").withColumn("qualified_name", F.concat(F.lit("x."), "name")), g.edges), ["supply/**"]))
+add("module_owner", "SELECT path, CASE WHEN starts_with(path, 'sales/ASIA/') THEN 'asia' ELSE 'sales' END AS owner FROM files WHERE starts_with(path, 'sales/')", lambda g: N.owner_of(g.files, g.files.sparkSession.createDataFrame([("sales", "sales"), ("sales/ASIA", "asia")], "dir string, owner string")))
+add("types_without_members", "SELECT DISTINCT qualified_name FROM nodes WHERE kind = 'Class' AND qualified_name NOT IN (SELECT split_part(qualified_name, '::', 1) FROM nodes WHERE kind IN ('Method', 'Column'))", N.types_without_members)
+add("sibling_definitions", "SELECT DISTINCT qualified_name, file_path FROM nodes WHERE name = 'small ring' AND kind = 'Class' AND qualified_name <> 'part.0'", lambda g: N.siblings(g, "small ring", "Class", "part.0"))
+add("inbound_kinds", "SELECT kind, count(*) n, count(DISTINCT source_qname) sources FROM edges WHERE target_qname = 'supp.6' GROUP BY 1", lambda g: N.inbound_kinds(g, "supp.6"))
+add("impact_modules", f""", s1 AS (SELECT source_qname q, max(CASE kind WHEN 'CALLS' THEN 1.0 WHEN 'NEW' THEN 1.0 WHEN 'EXTENDS' THEN 0.9 WHEN 'IMPLEMENTS' THEN 0.9 ELSE 0.8 END * 0.7) score FROM edges WHERE target_qname = 'part.1' AND kind IN {IMPACT} GROUP BY 1),
+    s2 AS (SELECT q, score, max(confidence_tier) tier FROM s1 JOIN edges ON source_qname = q AND target_qname = 'part.1' AND abs(CASE kind WHEN 'CALLS' THEN 1.0 WHEN 'NEW' THEN 1.0 WHEN 'EXTENDS' THEN 0.9 WHEN 'IMPLEMENTS' THEN 0.9 ELSE 0.8 END * 0.7 - score) < 1e-9 AND kind IN {IMPACT} GROUP BY 1, 2)
+    SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS module, count(*) symbols, count(*) FILTER (tier = 'RESOLVED') resolved, arg_min(q, printf('%.6f', 1 - score) || q) example FROM s2 JOIN first_nodes ON q = qualified_name GROUP BY 1""", lambda g: N.radius_by_module(W.impact(g, g.nodes.where("qualified_name = 'part.1'").select("qualified_name"), depth=1, max_nodes=100_000).rows, g))
+
+# Rows from outside
+
+add("keyed_calls", r"SELECT DISTINCT 'PROVIDES_VIEW_DATA' AS kind, source_qname, 'view::' || args[1] target_raw, file_path, line FROM edges WHERE kind = 'CALLS' AND args IS NOT NULL AND regexp_matches(target_raw, '^part\.2[^/]*$') AND args[1] IS NOT NULL", lambda g: X.keyed_edges(g, X.KeyedCall("part.2*", 1, "view::{key}")))
+add("collection_census", "SELECT CASE WHEN language NOT IN ('crm', 'prt') THEN 'suffix' WHEN starts_with(path, 'catalog/') AND NOT starts_with(path, 'catalog/lib/') THEN 'ignored' ELSE 'kept' END bucket, count(*) n FROM files GROUP BY 1", lambda g: X.census(g.files, ["crm", "prt"], ["catalog/", "!catalog/lib/"]))
+add("record_targets", "SELECT 'r' || (k % 50) AS id, 'part.' || k AS target, 'linked' AS state FROM prt WHERE k < 60 UNION ALL SELECT 'r' || (k % 50), 'none.' || k, 'dangling' FROM prt WHERE k < 60", lambda g: X.attach(g.nodes.where("kind = 'Class' and startswith(qualified_name, 'part.') and cast(substr(qualified_name, 6) as int) < 60").selectExpr("concat('r', cast(substr(qualified_name, 6) as int) % 50) as id", "array(qualified_name, concat('none.', substr(qualified_name, 6))) as targets"), g))
+QUERIES["route_matches"] = lambda spark, sf_dir: X.match_routes(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"), spark.createDataFrame([("/fr/*",), ("/de/*",), ("/fr/1*",)], "route string"), ["page"])
+ORACLE_SQL["route_matches"] = r"SELECT DISTINCT url, CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]*/fr/1') THEN '/fr/1*' WHEN regexp_matches(url, '^[a-z]+://[^/?#]*/fr/') THEN '/fr/*' ELSE '/de/*' END AS route, 'pattern' AS how FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/(fr|de)/')"
+QUERIES["event_counters"] = lambda spark, sf_dir: X.counters(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", ["click", "error", "view"])
+ORACLE_SQL["event_counters"] = "SELECT user_id, count(*) FILTER (event_type = 'click') click, count(*) FILTER (event_type = 'error') error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1"
