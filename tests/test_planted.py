@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.answers import page
 from tierwalk.functions import columns as C
-from tierwalk.operators import analytics, compute, doc_refs, resolve, search, snapshots, walks
+from tierwalk.operators import analytics, compute, definitions, doc_refs, records, resolve, rules, search, snapshots, walks
 from tierwalk.sources import python_files
 from tierwalk.sources.graph import EDGES, FILES, NODES, Graph, from_jsonl, from_rows, load, save
 from tierwalk.streaming.incremental import Store, follow
@@ -176,3 +176,41 @@ def test_python_sources(spark, tmp_path):
 def test_document_references(spark, chain):
     docs = spark.createDataFrame([("d", "See `Maybe` and `C::m`.\n```\n`A.php`\n```\n`nothing` `B.php`")], "doc string, value string")
     assert {(r.ref, r.state) for r in doc_refs.judge(doc_refs.extract(docs), chain).collect()} == {("Maybe", "ok"), ("C::m", "ok"), ("nothing", "gone"), ("B.php", "ok")}
+
+
+def test_ignore_rules_last_match_wins(spark):
+    files = spark.createDataFrame([(p,) for p in ("a.log", "x/a.log", "keep/a.log", "build/o.c", "src/build/o.c", "src/a.c")], "path string")
+    got = {r.path for r in records.ignored(files, ["*.log", "!keep/*.log", "build/"]).where("ignored").collect()}
+    assert got == {"a.log", "x/a.log", "build/o.c", "src/build/o.c"}
+
+
+def test_sparse_columns_fold_into_typed_ones(spark):
+    cols = "qualified_name string, data_type string, nullable boolean, identity boolean, primary_key boolean, file_path string"
+    rows = spark.createDataFrame([("T::A", "int", True, None, None, "1.sql"), ("t::a", None, False, True, None, "2.sql"), ("T::B", None, True, None, None, "2.sql")], cols)
+    got = {r.qualified_name: (r.nullable, r.identity, r.extras_from) for r in records.fold_columns(rows).collect()}
+    assert got == {"T::A": (True, True, ["2.sql"]), "T::B": (True, None, None)}
+
+
+def test_records_filter_attach_and_rank(spark, chain):
+    rows = spark.createDataFrame([("r1", ["A", "nowhere"], {"team": ["x", "y"]}), ("r2", ["B"], {"team": ["z"]})], "id string, targets array<string>, attributes map<string,array<string>>")
+    assert [r.id for r in records.select(rows, {"team": ["y"]}, ["team"]).collect()] == ["r1"]
+    with pytest.raises(ValueError):
+        records.select(rows, {"size": ["1"]}, ["team"])
+    assert {(r.target, r.state) for r in records.attach(rows, chain).collect()} == {("A", "linked"), ("nowhere", "dangling"), ("B", "linked")}
+    radius = spark.createDataFrame([("A", 2), ("B", 1)], "qname string, depth int")
+    assert [(r.id, r.distance) for r in records.ranked(rows, radius).collect()] == [("r2", 1), ("r1", 2)]
+
+
+def test_rules_tell_confirmed_from_candidate(spark, chain):
+    got = {(r.source_file, r.forbidden_file): r.verdict for r in rules.check(chain, rules.Forbidden("x", ["A.php"], ["C.php", "Maybe.php"], transitive=True)).collect()}
+    assert got == {("A.php", "C.php"): "confirmed", ("A.php", "Maybe.php"): "candidate"}
+    assert rules.check(chain, rules.Forbidden("x", ["A.php"], ["C.php"])).count() == 0
+
+
+def test_definitions(spark):
+    nodes = [("Class", "K", "K", "tests/K.php", True), ("Class", "K", "K", "src/K.php", False), ("Class", "M", "M", "old/1.2/M.php", False), ("Class", "M", "M", "new/M.php", False)]
+    g = graph(spark, nodes, [])
+    got = {(r.qualified_name, r.file_path): r.state for r in definitions.states(g, ["new/**", "old/**"]).collect()}
+    assert got == {("K", "tests/K.php"): "test_copy", ("K", "src/K.php"): "live", ("M", "new/M.php"): "live", ("M", "old/1.2/M.php"): "superseded"}
+    v = spark.createDataFrame([("db/1.2.0.sql",), ("db/1.10.sql",)], "p string").select(definitions.version("p", r"([0-9.]+)\.sql$").alias("v"))
+    assert sorted(r.v for r in v.collect()) == [[1, 2], [1, 10]]

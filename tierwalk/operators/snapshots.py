@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierwalk.functions import columns as C
+from tierwalk.operators.relational import module_edges
 from tierwalk.sources.graph import Graph
 
 
@@ -41,3 +43,18 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of file tables: added, removed or changed by hash."""
     both = before.select("path", F.col("hash").alias("h1")).join(after.select("path", F.col("hash").alias("h2")), "path", "full_outer")
     return both.where("not h1 <=> h2").select("path", F.when(F.col("h1").isNull(), "added").when(F.col("h2").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+def architecture(g: Graph) -> DataFrame:
+    """(section, key, n): files of each top directory, symbols of each kind, dependencies between top directories."""
+    files = g.files.groupBy(C.top_dir("path").alias("key")).agg(F.count("*").alias("n")).select(F.lit("layer").alias("section"), "key", "n")
+    kinds = g.nodes.groupBy(F.col("kind").alias("key")).agg(F.count("*").alias("n")).select(F.lit("kind").alias("section"), "key", "n")
+    pairs = module_edges(g).groupBy(F.concat(C.top_dir("file_path"), F.lit(" -> "), C.top_dir("target_file")).alias("key")).agg(F.count("*").alias("n"))
+    return files.union(kinds).union(pairs.select(F.lit("matrix").alias("section"), "key", "n"))
+
+
+def diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(section, key, before, after, change) of what differs between two architectures."""
+    both = before.withColumnRenamed("n", "before").join(after.withColumnRenamed("n", "after"), ["section", "key"], "full_outer").where("not `before` <=> `after`")
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return both.select("section", "key", "before", "after", change.alias("change"))

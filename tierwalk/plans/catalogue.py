@@ -214,6 +214,10 @@ add("symbol_changes", """, has AS (SELECT DISTINCT source_qname q, file_path f F
 add("changed_files", "SELECT path, 'removed' AS change FROM files WHERE starts_with(path, 'supply/EUROPE/')", lambda g: D.changed(g.files, _later(g).files))
 add("replace_file_rows", "SELECT kind, count(*) n FROM nodes WHERE NOT starts_with(file_path, 'supply/EUROPE/') OR kind = 'File' GROUP BY 1", lambda g: R.kind_counts(D.replace_files(g, *(lambda f: (f, g.nodes.join(f.select(F.col("path").alias("file_path")), "file_path", "left_semi").where("kind = 'File'"), g.edges.limit(0)))(g.files.where("startswith(path, 'supply/EUROPE/')"))).nodes))
 
+LATER = ", lf AS (SELECT * FROM files WHERE NOT starts_with(path, 'supply/EUROPE/')), ln AS (SELECT * FROM nodes WHERE NOT starts_with(file_path, 'supply/EUROPE/')), le AS (SELECT * FROM edges WHERE NOT starts_with(file_path, 'supply/EUROPE/') AND NOT (kind = 'IMPORTS' AND starts_with(file_path, 'catalog/Brand_3/'))), nd AS MATERIALIZED (SELECT DISTINCT qualified_name q, file_path f FROM nodes), ld AS MATERIALIZED (SELECT DISTINCT qualified_name q, file_path f FROM ln) "
+ARCH = "SELECT 'layer' AS section, split_part(path, '/', 1) AS key, count(*) n FROM {f} GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM {n} GROUP BY 2 UNION ALL SELECT 'matrix', split_part(a, '/', 1) || ' -> ' || split_part(b, '/', 1), count(*) FROM (SELECT DISTINCT file_path a, f b FROM (SELECT DISTINCT file_path, target_qname FROM {e} WHERE target_qname IS NOT NULL) JOIN {d} ON target_qname = q) WHERE a <> b GROUP BY 2"
+add("diff_architecture", LATER + f", b AS ({ARCH.format(f='files', n='nodes', e='edges', d='nd')}), a AS ({ARCH.format(f='lf', n='ln', e='le', d='ld')}) SELECT coalesce(b.section, a.section) AS section, coalesce(b.key, a.key) AS key, b.n AS before, a.n AS after, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.section = b.section AND a.key = b.key WHERE a.n IS DISTINCT FROM b.n", lambda g: D.diff(D.architecture(g), D.architecture(_later(g))))
+
 # Tables of their own
 
 QUERIES["canonical_routes"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(C.canonical_url("url", ["page"]).alias("route")).agg(F.count("*").alias("n"))
