@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierwalk.session import materialise
+
+__all__ = ["U64", "WordIds", "held_out", "materialise", "mix", "rolling", "rows_of", "table"]
+
 U64 = np.uint64
 
 
@@ -20,35 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="tierwalk-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def held_out(column: str, modulus: int, remainder: int) -> F.Column:
     """crc32 of the id's decimal text, modulo: the split the contracts name."""
     return (F.crc32(F.col(column).cast("string").cast("binary")) % modulus) == remainder
 
 
-def crc_mod(doc_id: int, modulus: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % modulus
-
-
 class WordIds(dict):
     """Stable 64-bit hashes of byte words; emptied when it has grown to `most` entries."""
 
@@ -93,16 +70,8 @@ def rolling(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray
         width *= 2
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [t or "" for t in batch.column(column).to_pylist()]
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
     """The same batches cut to at most `most` rows, so that what is decoded at once stays small."""
     for batch in batches:
         for i in range(0, batch.num_rows, most):
             yield batch.slice(i, most)
-
-
-def sha256_hex(column: F.Column) -> F.Column:
-    return F.sha2(column.cast("binary"), 256)
