@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from tierwalk.llm.common import U64, WordIds, materialise, mix, rolling, rows_of
 
 WIDTH, PHRASE = 20, 10
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 5_000_000
 #: Ids of copies that may be broadcast; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 LAST = np.iinfo(np.int64).max
@@ -255,9 +255,9 @@ def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_byte
     base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     gone = _gone(base.join(copies, "doc_id", "left_semi"), width)
     base = base.join(copies, "doc_id", "left_anti").withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)"))
-    phrases = _phrases(base, width, phrase, bits)
+    phrases = materialise(_phrases(base, width, phrase, bits), "places")
     recurring = phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    told = materialise(phrases.join(recurring, "h").select("shard", "h").distinct(), "phrases")
+    told = materialise(phrases.join(recurring, "h").select("shard", "h").distinct(), "told")
     found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(width, phrase, bits), STEP2), "located")
     by_window = Window.partitionBy("w1", "w2")
     first = found.where("kind = 2").select("shard", "w1", "w2", "at", "start", "n", F.sum("n").over(by_window).alias("all"), F.min(F.struct("at", "start")).over(by_window).alias("first"))
