@@ -72,11 +72,14 @@ def reach(g: Graph, seeds: DataFrame, depth: int | None = None, max_nodes: int |
     while (depth is None or hop < depth) and not frontier.isEmpty():
         hop += 1
         step = edges.join(frontier.select(F.col("qname").alias("source_qname")), "source_qname").select(F.col("target_qname").alias("qname"), "tier").distinct()
-        new = step.join(seen, "qname", "left_anti")
+        # One write a hop; what was seen is the union of the hops' tables, written as one now and then.
+        new = materialise(step.join(seen, "qname", "left_anti"), "reach-new")
         more = new.where("tier <> 'RESOLVED'").select("qname")
-        weak = materialise((more if weak is None else weak.union(more)).distinct(), "reach-weak")
-        frontier = materialise(new.where("tier = 'RESOLVED'").select("qname").distinct().withColumn("depth", F.lit(hop)), "reach-new")
-        seen = materialise(seen.union(frontier), "reach")
+        weak = more if weak is None else weak.union(more)
+        frontier = new.where("tier = 'RESOLVED'").select("qname", F.lit(hop).alias("depth"))
+        seen = seen.union(frontier)
+        if hop % 8 == 0:
+            seen, weak = materialise(seen, "reach"), materialise(weak.distinct(), "reach-weak")
         if max_nodes is not None and seen.count() > max_nodes:
             cut = True
             seen = materialise(seen.orderBy("depth", "qname").limit(max_nodes), "reach")
@@ -87,7 +90,7 @@ def reach(g: Graph, seeds: DataFrame, depth: int | None = None, max_nodes: int |
         seen = materialise(seen.union(up).groupBy("qname").agg(F.min("depth").alias("depth")), "reach")
     rows = seen.withColumn("state", F.lit("reached"))
     if weak is not None:
-        rows = rows.union(weak.join(seen, "qname", "left_anti").select("qname", F.lit(None).cast("int"), F.lit("unproven")))
+        rows = rows.union(weak.distinct().join(seen, "qname", "left_anti").select("qname", F.lit(None).cast("int"), F.lit("unproven")))
     return Walk(rows, cut, ended)
 
 

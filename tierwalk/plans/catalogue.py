@@ -77,7 +77,7 @@ add("dotted_module_keys", r"SELECT key, count(*) n FROM (SELECT array_to_string(
 PAIRS = ", fp AS (SELECT DISTINCT e.file_path, n.file_path AS target_file FROM edges e JOIN nodes n ON e.target_qname = n.qualified_name), me AS (SELECT * FROM fp WHERE file_path <> target_file) "
 add("resolved_edge_file_pairs", PAIRS + "SELECT * FROM fp", R.file_pairs)
 add("module_edges", PAIRS + "SELECT * FROM me", R.module_edges)
-METIERS = ", st AS MATERIALIZED (SELECT source_qname, target_qname, min(tr) tr FROM ranked WHERE target_qname IS NOT NULL GROUP BY 1, 2), nf AS MATERIALIZED (SELECT DISTINCT qualified_name q, file_path f FROM nodes), mt AS MATERIALIZED (SELECT a.f source_file, b.f target_file, min(tr) tr FROM st JOIN nf a ON source_qname = a.q JOIN nf b ON target_qname = b.q GROUP BY 1, 2 HAVING a.f <> b.f) "
+METIERS = ", st AS MATERIALIZED (SELECT source_qname, target_qname, min(tr) tr FROM ranked WHERE target_qname IS NOT NULL GROUP BY 1, 2), nf AS MATERIALIZED (SELECT DISTINCT qualified_name q, file_path f FROM nodes), sx AS MATERIALIZED (SELECT f source_file, target_qname, min(tr) tr FROM st JOIN nf ON source_qname = q GROUP BY 1, 2), mt AS MATERIALIZED (SELECT source_file, f target_file, min(tr) tr FROM sx JOIN nf ON target_qname = q WHERE source_file <> f GROUP BY 1, 2) "
 add("module_edge_tiers", METIERS + f"SELECT source_file, target_file, {TIER.format('tr')} confidence_tier FROM mt", R.module_edge_tiers)
 add("include_neighbours", "SELECT DISTINCT path FROM (SELECT target_qname path FROM edges WHERE kind = 'INCLUDES' AND source_qname IN (SELECT path FROM files WHERE path LIKE 'supply/ASIA/%') UNION SELECT source_qname FROM edges WHERE kind = 'INCLUDES' AND target_qname IN (SELECT path FROM files WHERE path LIKE 'supply/ASIA/%'))", lambda g: R.include_neighbours(g, g.files.where("startswith(path, 'supply/ASIA/')").select("path")))
 add("file_paths_targeting", "SELECT DISTINCT file_path FROM edges WHERE target_qname IN (SELECT qualified_name FROM nodes WHERE file_path LIKE 'catalog/Brand_1/%')", lambda g: R.dependents(g, g.files.where("startswith(path, 'catalog/Brand_1/')").select("path")))
@@ -185,8 +185,8 @@ add("find_business_modules", """, sp AS (SELECT string_split(path, '/') p FROM f
     wd AS (SELECT container FROM ch WHERE container <> '' GROUP BY 1 HAVING count(*) >= 4), tp AS (SELECT container FROM wd a WHERE NOT EXISTS (SELECT 1 FROM wd b WHERE starts_with(a.container, b.container || '/')))
     SELECT lower(split_part(dir, '/', -1)) AS module, sum(n)::BIGINT files, count(*) dirs FROM ch JOIN tp USING (container) GROUP BY 1""", A.modules)
 add("symbol_tree", """, sp AS (SELECT string_split(file_path, '/') p FROM nodes WHERE kind <> 'File') SELECT array_to_string(p[1:i], '/') dir, count(*) symbols FROM sp, LATERAL (SELECT unnest(range(1, len(p))) i) y GROUP BY 1 HAVING count(*) >= 10""", A.tree)
-add("assign_communities", METIERS + """, rp AS (SELECT source_file a, target_file b FROM mt WHERE tr = 0), e1 AS (SELECT a, b FROM rp UNION SELECT b, a FROM rp), c1 AS (SELECT DISTINCT a n, a r FROM e1 UNION SELECT b, r FROM c1 JOIN e1 ON a = n), l1 AS (SELECT n, min(r) r FROM c1 GROUP BY 1), al AS (SELECT path n FROM files WHERE path NOT IN (SELECT n FROM l1)),
-    hp AS (SELECT source_file a, target_file b FROM mt WHERE tr = 1 AND source_file IN (SELECT n FROM al) AND target_file IN (SELECT n FROM al)), e2 AS (SELECT a, b FROM hp UNION SELECT b, a FROM hp), c2 AS (SELECT DISTINCT a n, a r FROM e2 UNION SELECT b, r FROM c2 JOIN e2 ON a = n), l2 AS (SELECT n, min(r) r FROM c2 GROUP BY 1)
+add("assign_communities", METIERS + """, rp AS (SELECT source_file a, target_file b FROM mt WHERE tr = 0), e1 AS (SELECT a, b FROM rp UNION SELECT b, a FROM rp), c1 AS (SELECT DISTINCT a n, a r FROM e1 WHERE a NOT IN (SELECT a FROM e1 WHERE b < a) UNION SELECT b, r FROM c1 JOIN e1 ON a = n), l1 AS (SELECT n, min(r) r FROM c1 GROUP BY 1), al AS (SELECT path n FROM files WHERE path NOT IN (SELECT n FROM l1)),
+    hp AS (SELECT source_file a, target_file b FROM mt WHERE tr = 1 AND source_file IN (SELECT n FROM al) AND target_file IN (SELECT n FROM al)), e2 AS (SELECT a, b FROM hp UNION SELECT b, a FROM hp), c2 AS (SELECT DISTINCT a n, a r FROM e2 WHERE a NOT IN (SELECT a FROM e2 WHERE b < a) UNION SELECT b, r FROM c2 JOIN e2 ON a = n), l2 AS (SELECT n, min(r) r FROM c2 GROUP BY 1)
     SELECT n AS file, r AS community FROM l1 UNION ALL SELECT n, r FROM l2 UNION ALL SELECT n, n FROM al WHERE n NOT IN (SELECT n FROM l2)""", A.communities)
 add("guided_tour", None, A.tour)
 add("trace_flows", f"""{FLOW}, s0 AS (SELECT 'cust.' || c_custkey q FROM customer WHERE c_custkey < 20), r AS (SELECT q AS seed, q AS name, 0 AS step FROM s0 UNION SELECT seed, target_qname, step + 1 FROM r JOIN fe ON source_qname = name WHERE kind <> 'WRITES' AND tr = 0 AND step < 3), m AS (SELECT seed, name, min(step) step FROM r GROUP BY 1, 2), h AS (SELECT seed, target_qname sink, (step + 1)::INT steps, tr FROM m JOIN fe ON source_qname = name WHERE kind = 'WRITES')
