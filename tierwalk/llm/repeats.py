@@ -256,8 +256,9 @@ def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_byte
     gone = _gone(base.join(copies, "doc_id", "left_semi"), width)
     base = base.join(copies, "doc_id", "left_anti").withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)"))
     phrases = materialise(_phrases(base, width, phrase, bits), "places")
-    recurring = phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    told = materialise(phrases.join(recurring, "h").select("shard", "h").distinct(), "told")
+    # Written first, so that the join has plain shuffles on both sides and a very common phrase can be split.
+    recurring = materialise(phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring")
+    told = materialise(phrases.join(recurring, "h").select("shard", "h"), "told")
     found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(width, phrase, bits), STEP2), "located")
     by_window = Window.partitionBy("w1", "w2")
     first = found.where("kind = 2").select("shard", "w1", "w2", "at", "start", "n", F.sum("n").over(by_window).alias("all"), F.min(F.struct("at", "start")).over(by_window).alias("first"))
