@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from tierwalk.llm import decontaminate, pii
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"  # the smallest with labels enough for a fit
 
 
 @pytest.fixture(scope="module")
