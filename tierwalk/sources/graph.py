@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierwalk.functions.vocabulary import TIERS
+from tierwalk.session import shared_folder
 
 VERSION = "1"
+_BUILT: dict[tuple[str, str], str] = {}
 FILES = "path string, language string, hash string, parsed_ok boolean"
 NODES = "kind string, name string, qualified_name string, file_path string, line_start int, is_test boolean"
 EDGES = "kind string, source_qname string, target_qname string, target_raw string, file_path string, line int, confidence_tier string, args array<string>"
@@ -36,7 +39,28 @@ def load(spark: SparkSession, folder: str) -> Graph:
     meta = {r.key: r.value for r in spark.read.schema("key string, value string").json(f"{folder}/meta").collect()}
     if meta.get("version") != VERSION:
         raise ValueError(f"snapshot has version {meta.get('version')}, this is {VERSION}")
-    return Graph(*(spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in (("files", FILES), ("nodes", NODES), ("edges", EDGES))))
+    return _read(spark, folder)
+
+
+def _read(spark: SparkSession, folder: str) -> Graph:
+    def one(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}").select(*[c.split(" ")[0] for c in schema.split(", ")])
+
+    return Graph(one("files", FILES), one("nodes", NODES), one("edges", EDGES))
+
+
+def built(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projection of a folder's tables, written once an application as a snapshot, as an index would be, and read from it.
+
+    Edges lie by kind and only the columns a query needs are read. Tables that change under the same path need a new
+    session, or `project`.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        save(project(spark, sf_dir), folder)
+        _BUILT[key] = folder
+    return _read(spark, _BUILT[key])
 
 
 def save(graph: Graph, folder: str) -> None:
@@ -44,7 +68,7 @@ def save(graph: Graph, folder: str) -> None:
     spark = graph.files.sparkSession
     graph.files.write.mode("overwrite").parquet(f"{folder}/files")
     graph.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
-    graph.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
+    graph.edges.repartition("kind", "file_path").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
     spark.createDataFrame([("version", VERSION)], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
 
