@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tierwalk.answers import page
 from tierwalk.functions import columns as C
-from tierwalk.operators import analytics, compute, definitions, doc_refs, records, resolve, rules, search, snapshots, walks
+from tierwalk.operators import analytics, compute, definitions, doc_refs, records, relational, resolve, rules, search, snapshots, walks
+from tierwalk.plans.catalogue import QUERIES
 from tierwalk.sources import python_files
-from tierwalk.sources.graph import EDGES, FILES, NODES, Graph, from_jsonl, from_rows, load, save
+from tierwalk.sources.graph import EDGES, FILES, NODES, Graph, built, from_jsonl, from_rows, load, save
 from tierwalk.streaming.incremental import Store, follow
 
 
@@ -214,3 +215,44 @@ def test_definitions(spark):
     assert got == {("K", "tests/K.php"): "test_copy", ("K", "src/K.php"): "live", ("M", "new/M.php"): "live", ("M", "old/1.2/M.php"): "superseded"}
     v = spark.createDataFrame([("db/1.2.0.sql",), ("db/1.10.sql",)], "p string").select(definitions.version("p", r"([0-9.]+)\.sql$").alias("v"))
     assert sorted(r.v for r in v.collect()) == [[1, 2], [1, 10]]
+
+
+def plain_flows(edges, starts):
+    out = {}
+    for e in edges:
+        out.setdefault(e.source_qname, []).append(e)
+    found, rank = {}, ("RESOLVED", "HEURISTIC", "DYNAMIC").index
+    for seed in starts:
+        seen, at, step = {seed}, [seed], 0
+        while at:
+            step += 1
+            go = [e for name in at for e in out.get(name, ())]
+            for e in go:
+                if e.kind == "WRITES":
+                    key, new = (seed, e.target_qname), (step, rank(e.confidence_tier))
+                    found[key] = min(found.get(key, new), new)
+            at = list({e.target_qname for e in go if e.kind != "WRITES" and e.confidence_tier == "RESOLVED"} - seen)
+            seen.update(at)
+    return found
+
+
+def as_found(rows):
+    return {(r.seed, r.sink): (r.steps, ("RESOLVED", "HEURISTIC", "DYNAMIC").index(r.confidence_tier)) for r in rows.collect()}
+
+
+def test_flows_have_no_limit_of_hops(spark):
+    names = [f"n{i}" for i in range(11)]
+    edges = [("CALLS", a, b, "RESOLVED", "a.x") for a, b in zip(names, names[1:], strict=False)]
+    edges += [("CALLS", "n9", "n2", "RESOLVED", "a.x"), ("WRITES", "n10", "T", "HEURISTIC", "a.x"), ("WRITES", "n5", "T::c", "RESOLVED", "a.x"), ("CALLS", "n3", "weak", "HEURISTIC", "a.x"), ("WRITES", "weak", "U", "RESOLVED", "a.x")]
+    g = graph(spark, [("Function", n, n, "a.x", False) for n in (*names, "weak")], edges)
+    got = as_found(analytics.flows(g, seeds(spark, "n0", "n9")))
+    assert got == {("n0", "T"): (11, 1), ("n0", "T::c"): (6, 0), ("n9", "T"): (2, 1), ("n9", "T::c"): (5, 0)}
+    assert got == plain_flows(relational.flow_edges(g).collect(), ["n0", "n9"])
+
+
+def test_flows_of_all_customers(spark):
+    g = built(spark, "/root/testdata/sf0.01")
+    starts = [r.qualified_name for r in g.nodes.where("kind = 'Class' and startswith(qualified_name, 'cust.')").collect()]
+    want = plain_flows(relational.flow_edges(g).collect(), starts)
+    assert as_found(QUERIES["trace_flows_all"](spark, "/root/testdata/sf0.01")) == want
+    assert len({seed for seed, _ in want}) > 20

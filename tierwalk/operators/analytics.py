@@ -187,18 +187,22 @@ def tour(g: Graph, max_files: int = 300) -> DataFrame:
     return g.files.sparkSession.createDataFrame(rows, "stop int, file string, component string")
 
 
-def flows(g: Graph, seeds: DataFrame, depth: int = 4) -> DataFrame:
-    """(seed, sink, steps, tier): from each seed over RESOLVED edges to what is written; a write ends a flow at any tier."""
+def flows(g: Graph, seeds: DataFrame) -> DataFrame:
+    """(seed, sink, steps, tier): from each seed over RESOLVED edges to what is written; a write ends a flow at any tier.
+
+    Walks until no seed meets a new name, however many steps that takes.
+    """
     edges = materialise(R.flow_edges(g, FLOW_KINDS), "flow-edges")
     at = seeds.toDF("seed").distinct().select("seed", F.col("seed").alias("name"))
-    seen, sinks = at, None
-    for step in range(1, depth + 1):
+    seen, sinks, step = at, None, 0
+    while step == 0 or not at.isEmpty():
+        step += 1
         go = at.join(edges.withColumnRenamed("source_qname", "name"), "name")
         ends = go.where("kind = 'WRITES'").groupBy("seed", F.col("target_qname").alias("sink")).agg(F.min(C.tier_rank()).alias("rank")).withColumn("steps", F.lit(step))
         sinks = ends if sinks is None else sinks.union(ends)
+        if step % 8 == 0:
+            sinks = materialise(sinks, "flow-sinks")
         at = materialise(go.where("kind <> 'WRITES' and confidence_tier = 'RESOLVED'").select("seed", F.col("target_qname").alias("name")).distinct().join(seen, ["seed", "name"], "left_anti"), "flow")
-        if at.isEmpty():
-            break
         seen = materialise(seen.union(at), "flow-seen")
     best = sinks.groupBy("seed", "sink").agg(F.min(F.struct("steps", "rank")).alias("m"))
     return best.select("seed", "sink", F.col("m.steps").alias("steps"), C.tier_of("m.rank").alias("confidence_tier"))

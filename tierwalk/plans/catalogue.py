@@ -191,6 +191,8 @@ add("assign_communities", METIERS + """, rp AS (SELECT source_file a, target_fil
 add("guided_tour", None, A.tour)
 add("trace_flows", f"""{FLOW}, s0 AS (SELECT 'cust.' || c_custkey q FROM customer WHERE c_custkey < 20), r AS (SELECT q AS seed, q AS name, 0 AS step FROM s0 UNION SELECT seed, target_qname, step + 1 FROM r JOIN fe ON source_qname = name WHERE kind <> 'WRITES' AND tr = 0 AND step < 3), m AS (SELECT seed, name, min(step) step FROM r GROUP BY 1, 2), h AS (SELECT seed, target_qname sink, (step + 1)::INT steps, tr FROM m JOIN fe ON source_qname = name WHERE kind = 'WRITES')
     SELECT seed, sink, min(steps) steps, {TIER.format("arg_min(tr, steps * 10 + tr)")} confidence_tier FROM h GROUP BY 1, 2""", lambda g: A.flows(g, g.nodes.where("kind = 'Class' and startswith(qualified_name, 'cust.') and try_cast(substr(qualified_name, 6) as int) < 20").select("qualified_name")))
+# The same over every customer; tests hold it against a walk in plain Python.
+add("trace_flows_all", None, lambda g: A.flows(g, g.nodes.where("kind = 'Class' and startswith(qualified_name, 'cust.')").select("qualified_name")))
 
 # Rules
 
@@ -248,6 +250,7 @@ add("impact_modules", f""", s1 AS (SELECT source_qname q, max(CASE kind WHEN 'CA
 add("keyed_calls", r"SELECT DISTINCT 'PROVIDES_VIEW_DATA' AS kind, source_qname, 'view::' || args[1] target_raw, file_path, line FROM edges WHERE kind = 'CALLS' AND args IS NOT NULL AND regexp_matches(target_raw, '^part\.2[^/]*$') AND args[1] IS NOT NULL", lambda g: X.keyed_edges(g, X.KeyedCall("part.2*", 1, "view::{key}")))
 add("collection_census", "SELECT CASE WHEN language NOT IN ('crm', 'prt') THEN 'suffix' WHEN starts_with(path, 'catalog/') AND NOT starts_with(path, 'catalog/lib/') THEN 'ignored' ELSE 'kept' END bucket, count(*) n FROM files GROUP BY 1", lambda g: X.census(g.files, ["crm", "prt"], ["catalog/", "!catalog/lib/"]))
 add("record_targets", "SELECT 'r' || (k % 50) AS id, 'part.' || k AS target, 'linked' AS state FROM prt WHERE k < 60 UNION ALL SELECT 'r' || (k % 50), 'none.' || k, 'dangling' FROM prt WHERE k < 60", lambda g: X.attach(g.nodes.where("kind = 'Class' and startswith(qualified_name, 'part.') and try_cast(substr(qualified_name, 6) as int) < 60").selectExpr("concat('r', try_cast(substr(qualified_name, 6) as int) % 50) as id", "array(qualified_name, concat('none.', substr(qualified_name, 6))) as targets"), g))
+add("record_targets_all", "SELECT 'r' || (k % 50) AS id, 'part.' || k AS target, 'linked' AS state FROM prt UNION ALL SELECT 'r' || (k % 50), 'none.' || k, 'dangling' FROM prt", lambda g: X.attach(g.nodes.where("kind = 'Class' and startswith(qualified_name, 'part.')").selectExpr("concat('r', try_cast(substr(qualified_name, 6) as int) % 50) as id", "array(qualified_name, concat('none.', substr(qualified_name, 6))) as targets"), g))
 QUERIES["route_matches"] = lambda spark, sf_dir: X.match_routes(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"), spark.createDataFrame([("/fr/*",), ("/de/*",), ("/fr/1*",)], "route string"), ["page"])
 ORACLE_SQL["route_matches"] = r"SELECT DISTINCT url, CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]*/fr/1') THEN '/fr/1*' WHEN regexp_matches(url, '^[a-z]+://[^/?#]*/fr/') THEN '/fr/*' ELSE '/de/*' END AS route, 'pattern' AS how FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/(fr|de)/')"
 QUERIES["event_counters"] = lambda spark, sf_dir: X.counters(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", ["click", "error", "view"])
