@@ -256,3 +256,21 @@ def test_flows_of_all_customers(spark):
     want = plain_flows(relational.flow_edges(g).collect(), starts)
     assert as_found(QUERIES["trace_flows_all"](spark, "/root/testdata/sf0.01")) == want
     assert len({seed for seed, _ in want}) > 20
+
+
+def test_tour_expands_from_files_without_inbound_edges(spark):
+    # Twelve wide files lead to single leaves; a root leads down a chain; a cycle hangs on nothing.
+    wide = [(f"w{i:02}", f"leaf{i:02}_{j}") for i in range(12) for j in range(3)]
+    chain = [("root", "c1"), ("root", "c2"), ("root", "c3"), ("root", "c4"), ("c1", "d1"), ("d1", "e1"), ("e1", "c2"), ("y", "z"), ("z", "y")]
+    pairs = wide + chain
+    files = sorted({f for p in pairs for f in p})
+    g = graph(spark, [("Function", f, f, f, False) for f in files], [("CALLS", a, b, "RESOLVED", a) for a, b in pairs])
+    rows = analytics.tour(g, 12).orderBy("stop").collect()
+    # A quarter of 12 are seeds; they expand by path to the budget.
+    assert [r.file for r in rows] == ["root", "w00", "w01", "c1", "c2", "c3", "c4", "leaf00_0", "leaf00_1", "leaf00_2", "leaf01_0", "leaf01_1"]
+    assert all(r.truncated for r in rows)
+    whole = analytics.tour(g, 100).collect()
+    stop = {r.file: r.stop for r in whole}
+    assert sorted(stop) == files and not any(r.truncated for r in whole)
+    assert all(stop[a] < stop[b] for a, b in pairs if {a, b} != {"y", "z"})
+    assert {r.component for r in whole if r.file in ("y", "z")} == {"y"}

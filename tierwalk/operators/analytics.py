@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,18 +156,56 @@ def tarjan(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     return found
 
 
+def tour_files(g: Graph, max_files: int = 300) -> tuple[DataFrame, list[str], set[str], bool]:
+    """(file pairs, files of the tour, those of them that nothing leads to, whether files were left out).
+
+    The first round starts at files without inbound edges that lead somewhere, the widest first, at most a quarter of the
+    budget, and expands along edges, nearest files first. Later rounds start at the widest files not seen yet, so that
+    cycles and single files fill what is left.
+    """
+    spark = g.files.sparkSession
+    pairs = materialise(R.module_edges(g).toDF("a", "b"), "tour")
+    files = materialise(degrees(pairs, g.files.select("path")).select("name", "fan_in", "fan_out"), "tour-files")
+    cap, seen = max(1, max_files // 4), []
+
+    def table(names: list[str], column: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(n,) for n in names], f"{column} string"))
+
+    def widest(rows: DataFrame, limit: int) -> list[str]:
+        return [r.name for r in rows.orderBy(F.desc("fan_out"), "name").limit(limit).select("name").collect()]
+
+    def unseen() -> DataFrame:
+        return files.join(table(seen, "name"), "name", "left_anti")
+
+    roots = files.where("fan_in = 0")
+    frontier = widest(roots.where("fan_out > 0"), cap) or widest(roots, cap)
+    entries = set(frontier)
+    frontier = frontier or widest(files, cap)
+    while frontier:
+        seen += frontier
+        room = max_files - len(seen)
+        if room <= 0:
+            break
+        step = pairs.join(table(frontier, "a"), "a", "left_semi").select("b").distinct().join(table(seen, "b"), "b", "left_anti")
+        frontier = [r.b for r in step.orderBy("b").limit(room).collect()] or widest(unseen(), min(room, cap))
+    return pairs, seen, entries, not unseen().isEmpty()
+
+
 def tour(g: Graph, max_files: int = 300) -> DataFrame:
-    """(stop, file, component): reading order of a bounded part of the files, the widest first, dependers before what they use.
+    """(stop, file, component, truncated): reading order of at most `max_files` files, dependers before what they use.
 
-    The walked part is cut to `max_files` on the cluster; only it comes to the driver, for components and order.
+    Of what can come next, entries of the tour come first, then files that lead somewhere, the widest first. `truncated`
+    says whether files were left out. Rounds are walked on the cluster; only the admitted files and the edges between them
+    come to the driver.
     """
-    pairs = materialise(R.module_edges(g), "tour")
-    wide = degrees(pairs, g.files.select("path")).orderBy(F.desc("fan_out"), "fan_in", "name").limit(max_files).select("name")
-    names = [r.name for r in wide.collect()]
-    kept = pairs.join(F.broadcast(wide.withColumnRenamed("name", "file_path")), "file_path", "left_semi").join(F.broadcast(wide.withColumnRenamed("name", "target_file")), "target_file", "left_semi")
-    edges = [(r.file_path, r.target_file) for r in kept.collect()]
+    pairs, names, entries, truncated = tour_files(g, max_files)
+    spark = g.files.sparkSession
+    admitted = spark.createDataFrame([(n,) for n in names], "n string")
+    kept = pairs.join(F.broadcast(admitted.toDF("a")), "a", "left_semi").join(F.broadcast(admitted.toDF("b")), "b", "left_semi")
+    edges = [(r.a, r.b) for r in kept.collect()]
     parts = tarjan(names, edges)
     of = {n: i for i, p in enumerate(parts) for n in p}
+    wide = Counter(a for a, _ in edges)
     later: dict[int, set[int]] = {i: set() for i in range(len(parts))}
     waiting = [0] * len(parts)
     for a, b in edges:
@@ -174,17 +213,21 @@ def tour(g: Graph, max_files: int = 300) -> DataFrame:
         if x != y and y not in later[x]:
             later[x].add(y)
             waiting[y] += 1
-    heap = [(-len(later[i]), parts[i][0], i) for i, n in enumerate(waiting) if n == 0]
+
+    def key(i: int) -> tuple:
+        return min((n not in entries, wide[n] == 0, -wide[n], n) for n in parts[i]), i
+
+    heap = [key(i) for i, n in enumerate(waiting) if n == 0]
     heapq.heapify(heap)
     rows = []
     while heap:
-        _, _, i = heapq.heappop(heap)
-        rows += [(len(rows) + j, n, parts[i][0]) for j, n in enumerate(parts[i])]
+        _, i = heapq.heappop(heap)
+        rows += [(len(rows) + j, n, parts[i][0], truncated) for j, n in enumerate(parts[i])]
         for y in sorted(later[i]):
             waiting[y] -= 1
             if waiting[y] == 0:
-                heapq.heappush(heap, (-len(later[y]), parts[y][0], y))
-    return g.files.sparkSession.createDataFrame(rows, "stop int, file string, component string")
+                heapq.heappush(heap, key(y))
+    return spark.createDataFrame(rows, "stop int, file string, component string, truncated boolean")
 
 
 def flows(g: Graph, seeds: DataFrame) -> DataFrame:
