@@ -274,3 +274,14 @@ def test_tour_expands_from_files_without_inbound_edges(spark):
     assert sorted(stop) == files and not any(r.truncated for r in whole)
     assert all(stop[a] < stop[b] for a, b in pairs if {a, b} != {"y", "z"})
     assert {r.component for r in whole if r.file in ("y", "z")} == {"y"}
+
+
+def test_transitive_rules_have_no_limit_of_hops(spark):
+    names = [f"n{i}" for i in range(11)]
+    g = graph(spark, [("Function", n, n, f"{n}.x", False) for n in names], [("CALLS", a, b, "RESOLVED", f"{a}.x") for a, b in [*zip(names, names[1:], strict=False), ("n9", "n2")]])
+
+    def found(**more):
+        return {(r.forbidden_file, r.verdict) for r in rules.check(g, rules.Forbidden("x", ["n0.x"], ["n4.x", "n10.x"], transitive=True, **more)).collect()}
+
+    assert found() == found(depth=11) == {("n4.x", "confirmed"), ("n10.x", "confirmed")}
+    assert found(depth=4) == {("n4.x", "confirmed"), (None, "incomplete")}

@@ -21,7 +21,7 @@ class Forbidden:
     forbidden: Sequence[str]
     kinds: Sequence[str] = IMPACT_KINDS
     transitive: bool = False
-    depth: int = 4
+    depth: int | None = None
 
 
 def _matches(column: str, globs: Sequence[str]):
@@ -29,23 +29,33 @@ def _matches(column: str, globs: Sequence[str]):
 
 
 def check(g: Graph, rule: Forbidden) -> DataFrame:
-    """(rule, source_file, forbidden_file, verdict): confirmed over RESOLVED edges, else a candidate."""
+    """(rule, source_file, forbidden_file, verdict): confirmed over RESOLVED edges, else a candidate.
+
+    A transitive rule is walked until nothing new is met. Where it has a depth and more lay beyond it, the source file also
+    has a row `incomplete` without a forbidden file.
+    """
     at = g.nodes.select("qualified_name", "file_path").distinct()
     edges = g.linked().where(F.col("kind").isin(*rule.kinds)).select("source_qname", "target_qname", (C.tier_rank() == 0).alias("proven")).distinct()
     edges = materialise(edges, "rule-edges")
     reach = at.where(_matches("file_path", rule.sources)).select(F.col("file_path").alias("source_file"), F.col("qualified_name").alias("name"))
-    seen, hits = reach, None
-    for _ in range(rule.depth if rule.transitive else 1):
+    seen, hits, hop = reach, None, 0
+    last = rule.depth if rule.transitive else 1
+    while hop == 0 or ((last is None or hop < last) and not reach.isEmpty()):
+        hop += 1
         step = reach.join(edges.withColumnRenamed("source_qname", "name"), "name").groupBy("source_file", F.col("target_qname").alias("name")).agg(F.max("proven").alias("proven"))
         step = materialise(step.join(seen, ["source_file", "name"], "left_anti"), "rule-step")
         hits = step if hits is None else hits.union(step)
         reach = step.where("proven").select("source_file", "name")
-        if not rule.transitive or reach.isEmpty():
-            break
-        seen = materialise(seen.union(reach), "rule-seen")
+        seen = seen.union(reach)
+        if hop % 8 == 0:
+            seen, hits = materialise(seen, "rule-seen"), materialise(hits.groupBy("source_file", "name").agg(F.max("proven").alias("proven")), "rule-hits")
     bad = hits.join(at.where(_matches("file_path", rule.forbidden)).withColumnRenamed("qualified_name", "name"), "name")
     out = bad.groupBy("source_file", F.col("file_path").alias("forbidden_file")).agg(F.max("proven").alias("proven"))
-    return out.select(F.lit(rule.id).alias("rule"), "source_file", "forbidden_file", F.when(F.col("proven"), "confirmed").otherwise("candidate").alias("verdict"))
+    out = out.select(F.lit(rule.id).alias("rule"), "source_file", "forbidden_file", F.when(F.col("proven"), "confirmed").otherwise("candidate").alias("verdict"))
+    if not rule.transitive or last is None:
+        return out
+    beyond = reach.join(edges.withColumnRenamed("source_qname", "name"), "name").select("source_file", F.col("target_qname").alias("name")).join(seen, ["source_file", "name"], "left_anti")
+    return out.union(beyond.select(F.lit(rule.id), "source_file", F.lit(None).cast("string"), F.lit("incomplete")).distinct())
 
 
 def column_defaults(g: Graph, table: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,6 +199,7 @@ add("trace_flows_all", None, lambda g: A.flows(g, g.nodes.where("kind = 'Class'
 
 RULE = U.Forbidden("sales-not-supply", ["sales/**"], ["supply/ASIA/**"], ("CALLS", "NEW"))
 add("check_architecture_rules", f"SELECT DISTINCT 'sales-not-supply' AS rule, a.file_path source_file, b.file_path forbidden_file, CASE WHEN min(tr) = 0 THEN 'confirmed' ELSE 'candidate' END verdict FROM ranked e JOIN nodes a ON e.source_qname = a.qualified_name JOIN nodes b ON e.target_qname = b.qualified_name WHERE e.kind IN {CALLERS} AND starts_with(a.file_path, 'sales/') AND starts_with(b.file_path, 'supply/ASIA/') GROUP BY 2, 3", lambda g: U.check(g, RULE))
+add("check_architecture_rules_transitive", f", ce AS MATERIALIZED (SELECT source_qname s, target_qname t, min(tr) tr FROM ranked WHERE target_qname IS NOT NULL AND kind IN {CALLERS} GROUP BY 1, 2), r AS (SELECT DISTINCT file_path f, qualified_name q FROM nodes WHERE starts_with(file_path, 'sales/') UNION SELECT f, t FROM r JOIN ce ON s = q WHERE tr = 0) SELECT 'sales-not-supply' AS rule, f source_file, b.file_path forbidden_file, CASE WHEN min(tr) = 0 THEN 'confirmed' ELSE 'candidate' END verdict FROM r JOIN ce ON s = q JOIN nodes b ON t = b.qualified_name WHERE starts_with(b.file_path, 'supply/ASIA/') GROUP BY 2, 3", lambda g: U.check(g, replace(RULE, transitive=True)))
 add("check_column_defaults", """, wr AS (SELECT DISTINCT source_qname s, target_qname t FROM edges WHERE kind = 'WRITES' AND (target_qname = 'evt.click' OR starts_with(target_qname, 'evt.click::'))), wh AS (SELECT s FROM wr WHERE t = 'evt.click')
     SELECT qualified_name, (SELECT count(DISTINCT s) FROM wr) writers, (SELECT count(*) FROM wr WHERE t = qualified_name) named, (SELECT count(*) FROM wh) unmeasured, (SELECT count(DISTINCT s) FROM wr) - (SELECT count(*) FROM wh) - (SELECT count(*) FROM wr WHERE t = qualified_name AND s NOT IN (SELECT s FROM wh)) omitted FROM nodes WHERE kind = 'Column' AND starts_with(qualified_name, 'evt.click::')""", lambda g: U.column_defaults(g, "evt.click"))
 
