@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 
 from tierwalk.llm.common import rows_of
 
-#: Fixed formats of issued keys, then what is assigned to a telling name, then any long token.
+#: Fixed formats of issued keys, then what is assigned to a telling name, then any long token. Values have no upper length:
+#: loops over one class of characters are possessive and start once a run, so that a text is read in linear time. A private
+#: key without an end mark goes on after 8,000 characters only while it looks like a key.
 PATTERNS = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,8000}")),
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?=-----END)|[^-]{0,8000}+[A-Za-z0-9+/=\r\n]*+)")),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("issued_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_(?:live|test)_[A-Za-z0-9]{16,200}|AIza[A-Za-z0-9_-]{35})")),
-    ("web_token", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}")),
-    ("assigned", re.compile(r"(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credential)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"']{6,256})")),
-    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,255}[0-9])[A-Za-z0-9+/_-]{24,256}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("issued_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})")),
+    ("web_token", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})[A-Za-z0-9_-]*?(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
+    ("assigned", re.compile(r"(?i:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credential)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"']{6,}+)")),
+    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_-])")),
 )
 ASSIGN = re.compile("[:=]")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20}|eyJ|xox|-----B")
