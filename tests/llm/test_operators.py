@@ -246,6 +246,37 @@ def test_repeats_of_nothing_and_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(4, 0), (4, 0), (8, 25)]
 
 
+def test_repeats_of_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "tu")
+    rows = repeats.remove(table(spark, [one, one, two, None, None], [1, 2, 2, 2, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 0, 0), (1, 30, 0), (2, 0, 0), (2, 30, 0), (2, 30, 30)]
+    rows = repeats.remove(table(spark, [one + " x", two, one, two + " y " + one], [None, None, 5, 6])).collect()
+    assert sorted((r.n_words, r.n_removed) for r in rows) == [(30, 0), (30, 30), (31, 30), (61, 30)]
+
+
+def test_repeats_with_more_copies_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_SENT", 0)
+    text = " ".join(f"v{i}" for i in range(25))
+    rows = repeats.remove(table(spark, [text, text, text, "x " + text], [4, 4, 8, 9])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(4, 0), (4, 0), (8, 25), (9, 25)]
+
+
+def test_only_the_automaton_marks_words():
+    import ahocorasick
+    import pyarrow as pa
+
+    text = " ".join(f"v{i}" for i in range(40))
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array([text.encode(), ("a b " + text).encode()], pa.binary()), "key": pa.array([7, 8], pa.int64())})
+    known = pa.table({"at": pa.array([1] * 21, pa.int64()), "key": pa.array([7] * 21, pa.int64()), "start": pa.array(range(21), pa.int32()), "first_at": pa.array([1] * 21, pa.int64()), "first_start": pa.array(range(21), pa.int32())})
+    s = repeats.Shard(docs)
+    assert repeats.marks(s, known, 20, 10).sum() == 40
+    passages = repeats.Passages(s, s.places(known), 20, 10)
+    assert len(passages.occurrences()[0]) == 42
+    passages.automaton = ahocorasick.Automaton()
+    passages.automaton.make_automaton()
+    assert len(passages.occurrences()[0]) == 0
+
+
 # Decontamination
 
 

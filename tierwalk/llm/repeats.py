@@ -3,21 +3,21 @@
 A window is `width` consecutive words of one document. Equal windows contain the same least phrase of `PHRASE` words (by
 hash, leftmost of ties), so a window can only recur if that phrase does.
 
-0. Exact copies of a text with a smaller id lose all windows at once; only the first copy goes on.
+0. Rows whose text also stands under a smaller id lose all windows at once; the others go on.
 1. Each document names its windows' least phrases; phrases counted twice or more recur.
-2. Documents are dealt to shards by their id. Each shard compiles its recurring phrases into an Aho-Corasick automaton
-   over words and streams its documents through it; every window around an occurrence is a candidate. Documents without
-   candidates are final.
-3. Candidates are counted by a 96-bit hash of their words, with the first place where each stands; those counted twice
-   confirm a recurring passage.
-4. Each shard marks, in its remaining documents, every window that also starts earlier, and drops the words it covers.
+2. Documents are dealt to shards. Each shard hashes its windows of recurring phrases (96 bits); hashes counted twice or more
+   over all shards confirm a recurring passage, with the first place where it stands.
+3. Each shard compiles the phrases of the confirmed passages it holds into an Aho-Corasick automaton over words and streams
+   all its documents through it. Where a phrase occurs, the passages around it are compared word by word (by hash); those
+   that stand and also start earlier are dropped. Nothing else marks a word.
 
-A shard holds about `shard_bytes` of text. What a shard learns about a phrase or window is one row, however many of its
-documents hold it; counts are combined before they are shuffled, and joins on a phrase can be split.
+A shard holds about `shard_bytes` of text. What a shard learns about a passage is one row, however often its documents hold
+it; a phrase is one row for each place of it. Counts are combined before they are shuffled, and every join on a phrase or a
+passage has plain shuffles on both sides, so that adaptive execution can split a very common one.
 
 Edge cases: null and empty texts have no words; texts shorter than a window stay whole; a row repeated under the same id
-does not come before itself, so it stays; rows without an id come after all others; an empty table gives an empty table;
-columns besides the id and the text are not read.
+does not come before itself, so it stays; one id with several texts is one document whose texts all start at word 0; rows
+without an id come after all others; an empty table gives an empty table; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -29,18 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tierwalk.llm.common import U64, WordIds, materialise, mix, rolling, rows_of
 
 WIDTH, PHRASE = 20, 10
 SHARD_BYTES = 5_000_000
-#: Ids of copies that may be broadcast; more are joined by a shuffle.
+#: Copied texts whose hashes may be broadcast; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 LAST = np.iinfo(np.int64).max
 _WORDS = WordIds()
-STEP2 = "shard int, kind int, doc_id long, n_words long, kept_sha256 string, text binary, w1 long, w2 int, at long, start int, n int"
-_S2 = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int32()), ("at", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+WINDOWS = "shard int, w1 long, w2 int, at long, key long, start int, n int"
+_WINDOWS = pa.schema([("shard", pa.int32()), ("w1", pa.int64()), ("w2", pa.int32()), ("at", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -109,11 +108,12 @@ DIGITS = 6  # bits of a letter that a word's number is written in
 
 
 class Shard(Words):
-    """Documents of one shard."""
+    """Documents of one shard; `key` tells texts of one id apart."""
 
-    def __init__(self, ids: list[int | None], found: list[bytes]):
-        super().__init__(found)
-        self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
+    def __init__(self, docs: pa.Table):
+        super().__init__([t or b"" for t in docs.column("text").to_pylist()])
+        self.ids = np.array([LAST if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
+        self.keys = docs.column("key").to_numpy()
 
     def letters(self) -> tuple[str, int]:
         """The run of words in letters, so many a word: nodes of the automaton then have few branches."""
@@ -123,115 +123,116 @@ class Shard(Words):
         return (((number[:, None] >> places) & ((1 << DIGITS) - 1)) + 48).astype(np.uint8).tobytes().decode("latin-1"), size
 
     def candidates(self, recurring: np.ndarray, width: int, phrase: int, bits: int) -> np.ndarray:
-        """Places of the windows that hold an occurrence of a recurring phrase."""
+        """Places of the windows whose least phrase recurs."""
+        ok = np.flatnonzero(self.valid(width))
+        if not len(ok) or not len(recurring):
+            return np.empty(0, np.int64)
+        g, at = least_phrases(self.hashes, width, phrase)
+        return ok[np.isin((g[at[ok]] >> U64(64 - bits)).view(np.int64), recurring)]
+
+    def places(self, known: pa.Table) -> np.ndarray:
+        """Where each known passage stands in this shard, by its document and start."""
+        row = {k: i for i, k in enumerate(zip(self.ids.tolist(), self.keys.tolist(), strict=True))}
+        mine = np.fromiter(map(row.__getitem__, zip(known.column("at").to_pylist(), known.column("key").to_pylist(), strict=True)), np.int64, known.num_rows)
+        return self.first[mine] + known.column("start").to_numpy()
+
+
+class Passages:
+    """Confirmed passages of a shard behind an automaton of their least phrases."""
+
+    def __init__(self, s: Shard, at: np.ndarray, width: int, phrase: int):
         import ahocorasick
 
-        g, at = self.least(width, phrase)
-        at = at[np.isin((g[at] >> U64(64 - bits)).view(np.int64), recurring)]
-        if not len(at):
-            return np.empty(0, np.int64)
-        _, one = np.unique(g[at], return_index=True)
-        text, size = self.letters()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in (at[one] * size).tolist():
-            automaton.add_word(text[p : p + phrase * size])
-        automaton.make_automaton()
-        ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64) + 1
-        starts = ends[ends % size == 0] // size - phrase
-        change = np.zeros(len(self.hashes) + 1, np.int32)
-        np.add.at(change, np.maximum(starts - (width - phrase), 0), 1)
-        np.add.at(change, starts + 1, -1)
-        ok = self.valid(width)
-        return np.flatnonzero((np.cumsum(change)[: len(ok)] > 0) & ok)
+        self.shard, self.width, self.phrase = s, width, phrase
+        g = mix(rolling(s.hashes, phrase))
+        inside = np.lib.stride_tricks.sliding_window_view(g, width - phrase + 1)[at].argmin(axis=1)
+        _, one, group = np.unique(g[at + inside], return_index=True, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        #: Passages by phrase: which, how far before the phrase each starts, and where each phrase's begin.
+        self.which, self.before = order, inside[order]
+        self.begin = np.searchsorted(group[order], np.arange(len(one) + 1))
+        self.at = at
+        self.text, self.size = s.letters()
+        self.automaton = ahocorasick.Automaton()
+        for i, p in enumerate(((at + inside)[one] * self.size).tolist()):
+            self.automaton.add_word(self.text[p : p + phrase * self.size], i)
+        self.automaton.make_automaton()
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, passage) of every occurrence in the shard's documents."""
+        found = np.array(list(self.automaton.iter(self.text)) if len(self.automaton) else [], np.int64).reshape(-1, 2)
+        starts, group = found[:, 0] + 1 - self.phrase * self.size, found[:, 1]
+        whole = starts % self.size == 0
+        starts, group = starts[whole] // self.size, group[whole]
+        n = np.diff(self.begin)[group]
+        # All passages of each phrase that occurred: the k-th of the n of a hit.
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        slot = np.repeat(self.begin[group], n) + k
+        place, passage = np.repeat(starts, n) - self.before[slot], self.which[slot]
+        w1, w2 = windows(self.shard.hashes, self.width)
+        ok = self.shard.valid(self.width)
+        inside = (place >= 0) & (place < len(ok))
+        place, passage = place[inside], passage[inside]
+        there = self.at[passage]
+        same = ok[place] & (w1[place] == w1[there]) & (w2[place] == w2[there])
+        return place[same], passage[same]
 
 
 def _hash(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _table(columns: dict, n: int) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _S2], schema=_S2)
-
-
-def _locate(width: int, phrase: int, bits: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table({}, 0)
-        shard = left.column("shard")[0].as_py()
-        texts = [t or b"" for t in left.column("text").to_pylist()]
-        ids = left.column("doc_id").to_pylist()
-        s = Shard(ids, texts)
-        at = s.candidates(right.column("h").to_numpy(), width, phrase, bits)
-        touched = set(np.unique(s.number[at]).tolist())
-        done = [i for i in range(len(ids)) if i not in touched]
-        rest = sorted(touched)
-        out = [
-            _table({"shard": [shard] * len(done), "kind": [0] * len(done), "doc_id": [ids[i] for i in done], "n_words": [len(s.words[i]) for i in done], "kept_sha256": [_hash(s.words[i]) for i in done]}, len(done)),
-            _table({"shard": [shard] * len(rest), "kind": [1] * len(rest), "doc_id": [ids[i] for i in rest], "text": [texts[i] for i in rest]}, len(rest)),
-        ]
-        if len(at):
-            w1, w2 = (w[at] for w in windows(s.hashes, width))
-            doc, start = s.ids[s.number[at]], at - s.first[s.number[at]]
-            order = np.lexsort((start, doc, w2, w1))
-            w1, w2, doc, start = w1[order], w2[order], doc[order], start[order]
-            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-            n = np.minimum(np.diff(np.concatenate((np.flatnonzero(new), [len(w1)]))), 2)
-            m = len(n)
-            out.append(_table({"shard": np.full(m, shard, np.int32), "kind": np.full(m, 2, np.int32), "w1": w1[new].view(np.int64), "w2": w2[new].view(np.int32), "at": doc[new], "start": start[new].astype(np.int32), "n": n.astype(np.int32)}, m))
-        return pa.concat_tables(out)
+def _confirm(width: int, phrase: int, bits: int):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        """One row for each distinct window of a recurring phrase in a shard: its first place here, and 2 if there are more."""
+        if not docs.num_rows or not told.num_rows:
+            return _WINDOWS.empty_table()
+        s = Shard(docs)
+        at = s.candidates(told.column("h").to_numpy(), width, phrase, bits)
+        w1, w2 = (w[at] if len(at) else w[:0] for w in windows(s.hashes, width))
+        row = s.number[at]
+        doc, start = s.ids[row], at - s.first[row]
+        order = np.lexsort((start, doc, w2, w1))
+        w1, w2, doc, start, key = w1[order], w2[order], doc[order], start[order], s.keys[row][order]
+        new = np.ones(len(at), bool)
+        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        n = np.minimum(np.diff(np.concatenate((np.flatnonzero(new), [len(w1)]))), 2)
+        columns = [np.full(len(n), docs.column("shard")[0].as_py()), w1[new].view(np.int64), w2[new].view(np.int32), doc[new], key[new], start[new], n]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
 
     return run
 
 
-def _marks(ids: np.ndarray, s: Shard, known: pa.Table, width: int) -> np.ndarray:
-    """For each word of the shard whether a window that also starts earlier covers it."""
-    ok = np.flatnonzero(s.valid(width))
+def marks(s: Shard, known: pa.Table, width: int, phrase: int) -> np.ndarray:
+    """For each word of the shard whether an occurrence of a known passage that also starts earlier covers it."""
     gone = np.zeros(len(s.hashes) + 1, np.int32)
-    if len(ok) and known.num_rows:
-        k1, k2, kd, ks = (known.column(c).to_numpy() for c in ("w1", "w2", "first_at", "first_start"))
-        order = np.lexsort((k2, k1))
-        k1, k2, kd, ks = k1[order], k2[order], kd[order], ks[order]
-        w1, w2 = windows(s.hashes, width)
-        w1, w2 = w1[ok].view(np.int64), w2[ok].view(np.int32)
-        lo, hi = np.searchsorted(k1, w1, "left"), np.searchsorted(k1, w1, "right")
-        place = np.full(len(ok), -1, np.int64)
-        for j in range(int((hi - lo).max(initial=0))):  # over one only where first halves collide
-            here = np.minimum(lo + j, len(k1) - 1)
-            place = np.where((lo + j < hi) & (k2[here] == w2), here, place)
-        hit = place >= 0
-        at = ok[hit]
-        doc, start = ids[s.number[at]], at - s.first[s.number[at]]
-        d, b = kd[place[hit]], ks[place[hit]]
-        later = at[(doc > d) | (doc == d) & (start > b)]
+    if known.num_rows:
+        place, passage = Passages(s, s.places(known), width, phrase).occurrences()
+        doc, start = s.ids[s.number[place]], place - s.first[s.number[place]]
+        d, b = known.column("first_at").to_numpy()[passage], known.column("first_start").to_numpy()[passage]
+        later = place[(doc > d) | (doc == d) & (start > b)]
         np.add.at(gone, later, 1)
         np.add.at(gone, later + width, -1)
     return np.cumsum(gone) > 0
 
 
-def _drop(width: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+def _drop(width: int, phrase: int):
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows:
             return _DIGEST.empty_table()
-        ids = left.column("doc_id").to_pylist()
-        s = Shard(ids, left.column("text").to_pylist())
-        gone = _marks(s.ids, s, right, width)
+        s = Shard(docs)
+        gone = marks(s, known, width, phrase)
         rows = []
-        for i, f, words in zip(ids, s.first.tolist(), s.words, strict=True):
-            kept = [w for w, x in zip(words, gone[f : f + len(words)].tolist(), strict=True) if not x]
+        for i, f, words in zip(docs.column("doc_id").to_pylist(), s.first.tolist(), s.words, strict=True):
+            mine = gone[f : f + len(words)]
+            kept = [w for w, x in zip(words, mine.tolist(), strict=True) if not x] if mine.any() else words
             rows.append((i, len(words), len(words) - len(kept), _hash(kept)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
     return run
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of the texts that also stand under a smaller id."""
-    sums = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("sum")).where("doc_id is not null and text is not null")
-    first = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return sums.join(first, "sum").where("doc_id > least").select("doc_id").distinct()
-
-
-def _gone(docs: DataFrame, width: int) -> DataFrame:
+def _gone(copies: DataFrame, width: int) -> DataFrame:
     """DIGEST of copies: nothing stays of a text that has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,13 @@ def _gone(docs: DataFrame, width: int) -> DataFrame:
             columns = [[len(w) for w in words], [len(w) - len(x) for w, x in zip(words, kept, strict=True)], [_hash(x) for x in kept]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_DIGEST)[1:], strict=True))], schema=_DIGEST)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return copies.select("doc_id", "text").mapInArrow(run, DIGEST)
+
+
+def _first_copies(base: DataFrame) -> DataFrame:
+    """(sum, least): the smallest id of each text that stands under several; counted in part before the shuffle."""
+    held = base.select("sum", "doc_id").where("doc_id is not null and sum is not null")
+    return held.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sum", "least")
 
 
 def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -250,21 +257,25 @@ def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_byte
     n = max(1, -(-size // shard_bytes))
     # Of a phrase's hash so many bits go round that chance makes few phrases equal: those only cost a look.
     bits = min(63, max(24, size.bit_length() + 6))
-    copies = materialise(_copies(docs), "copies")
-    copies = F.broadcast(copies) if copies.count() <= MOST_SENT else copies
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    gone = _gone(base.join(copies, "doc_id", "left_semi"), width)
-    base = base.join(copies, "doc_id", "left_anti").withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)"))
+    base = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("sum", F.unhex(F.md5("text")))
+    first = materialise(_first_copies(base), "copies")
+    if first.count() <= MOST_SENT:
+        base = base.join(F.broadcast(first), "sum", "left")
+    else:
+        # Ids meet the hashes without their texts; the pairs found are spread evenly.
+        later = base.select("sum", "doc_id").distinct().join(first, "sum").where("doc_id > least")
+        base = base.join(later, ["sum", "doc_id"], "left")
+    copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
+    gone = _gone(base.where(copy), width)
+    base = base.where(~copy).select("doc_id", "text", F.xxhash64("text").alias("key")).withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, key), {n}) as int)"))
     phrases = materialise(_phrases(base, width, phrase, bits), "places")
     # Written first, so that the join has plain shuffles on both sides and a very common phrase can be split.
     recurring = materialise(phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring")
     told = materialise(phrases.join(recurring, "h").select("shard", "h"), "told")
-    found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(width, phrase, bits), STEP2), "located")
-    by_window = Window.partitionBy("w1", "w2")
-    first = found.where("kind = 2").select("shard", "w1", "w2", "at", "start", "n", F.sum("n").over(by_window).alias("all"), F.min(F.struct("at", "start")).over(by_window).alias("first"))
+    found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_confirm(width, phrase, bits), WINDOWS), "windows")
+    passages = found.groupBy("w1", "w2").agg(F.sum("n").alias("all"), F.min(F.struct("at", "start")).alias("first")).where("all > 1")
+    passages = materialise(passages.selectExpr("w1", "w2", "first.at as first_at", "first.start as first_start"), "passages")
     # A shard whose only copy is the first one has nothing to remove for it.
-    confirmed = first.where("all > 1 and not (n = 1 and first.at = at and first.start = start)").select("shard", "w1", "w2", F.col("first.at").alias("first_at"), F.col("first.start").alias("first_start"))
-    left = found.where("kind = 1").select("shard", "doc_id", "text")
-    dropped = left.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_drop(width), DIGEST)
-    whole = found.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return whole.unionByName(dropped).unionByName(gone)
+    known = found.join(passages, ["w1", "w2"]).where("not (n = 1 and first_at = at and first_start = start)").select("shard", "at", "key", "start", "first_at", "first_start")
+    dropped = base.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_drop(width, phrase), DIGEST)
+    return dropped.unionByName(gone)
