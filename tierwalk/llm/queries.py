@@ -36,6 +36,12 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(tiff.store_texts(table(spark, sf_dir, "documents")))
 
 
+@query
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page of the stored texts."""
+    return tiff.page_rows(tiff.store_texts(table(spark, sf_dir, "documents"))).drop("mean").withColumnRenamed("id", "doc_id")
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
@@ -108,6 +114,14 @@ c AS (SELECT doc_id, count(DISTINCT j) n_hit FROM (SELECT doc_id, unnest(range(i
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(digest, sha256('')) items_sha256, coalesce(n_items, 0) >= 2 contaminated FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+ORACLE_SQL["tiff_pages"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+p AS (SELECT doc_id, rpad(h, (greatest(1, ceil(length(h) / 1152)) * 1152)::INT, 'F') h FROM d),
+g AS (SELECT doc_id, unnest(range(0, ceil(length(h) / 589824)::BIGINT)) page, h FROM p),
+s AS (SELECT doc_id, page, substr(h, page * 589824 + 1, 589824) h FROM g)
+SELECT doc_id, page::INT page, 576 width, (length(h) // 1152)::INT height, 1 samples, 8 compression, 2 predictor, false tiled, sha256(unhex(h)) sha256, NULL::VARCHAR error FROM s"""
+
+
 def _pii_sql() -> str:
     """Base kinds with their places: gaps and matches add up. Added kinds look behind, which this SQL can't; tests cover them."""
     kinds = (
