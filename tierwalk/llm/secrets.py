@@ -1,24 +1,26 @@
 """Secrets in texts: patterns propose findings, a random forest removes false ones.
 
-Features of a finding: length, character classes and transitions, entropy, how much of it common letter groups cover,
-known prefixes, the kind of pattern, and the words and path before it. The forest is grown in numpy from labelled
-findings that `labelled_findings` writes by rule with a fixed seed: keys, tokens and passwords as real ones look, against
-placeholders, digests, identifiers, versions, paths and numbers in the places where they stand.
+Features of a finding: length, character classes and their transitions, how unlikely its letter transitions are for a word,
+entropy, how much of it dictionary words cover, known prefixes, the kind of pattern, and the words and path on both sides of
+it. Dictionary and letter transitions come from a public vocabulary (`Lexicon.read`). The forest is grown in numpy from
+labelled findings (`fit`); `labelled_findings` writes some by rule with a fixed seed: keys, tokens and passwords as real ones
+look, against placeholders, digests, identifiers, versions, paths and numbers in the places where they stand.
 
 Edge cases: null and empty texts have no findings; equal texts have equal findings; overlapping findings of several
-patterns count once, the first pattern's; an empty table gives an empty table; other columns are not read. Values do not
-leave the operator unless asked for: a finding carries a hash of its value.
+patterns count once, the first pattern's; values have no upper length; an empty table gives an empty table; other columns
+are not read. Values do not leave the operator unless asked for: a finding carries a hash of its value.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -32,7 +34,7 @@ from tierwalk.llm.common import rows_of
 #: loops over one class of characters are possessive and start once a run, so that a text is read in linear time. A private
 #: key without an end mark goes on after 8,000 characters only while it looks like a key.
 PATTERNS = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?=-----END)|[^-]{0,8000}+[A-Za-z0-9+/=\r\n]*+)")),
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+(?=-----END)|[^-]{0,8000}+[A-Za-z0-9+/=\r\n]*+)")),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("issued_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})")),
     ("web_token", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})[A-Za-z0-9_-]*?(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
@@ -41,8 +43,9 @@ PATTERNS = (
 )
 ASSIGN = re.compile("[:=]")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20}|eyJ|xox|-----B")
-#: Letter groups that words are full of, and random strings are not.
-GROUPS = re.compile(r"(?i)th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur")
+#: Characters on each side of a value that are looked at.
+REACH = 60
+LETTERS = {c: i for i, c in enumerate(string.ascii_lowercase)}
 HINTS = {
     "telling": ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login"),
     "harmless": ("example", "sample", "dummy", "placeholder", "test", "fake", "your", "xxxx", "changeme", "todo", "mock"),
@@ -51,25 +54,75 @@ HINTS = {
 OUT = "doc_id long, kind string, start long, end long, value_sha256 string, score double, secret boolean"
 
 
+@dataclass(frozen=True, eq=False)
+class Lexicon:
+    """Words of four letters and more, and how surprising each step from letter to letter is within them (in bits)."""
+
+    words: frozenset[str]
+    steps: np.ndarray  # 27 x 27, the last for whatever is no letter
+    longest: int = 14
+
+    @staticmethod
+    def of(words: Iterable[str]) -> Lexicon:
+        held = frozenset(w for w in words if len(w) >= 4 and w.isascii() and w.isalpha())
+        counts = np.full((27, 27), 0.1)
+        for w in sorted(held):
+            for x, y in zip(w, w[1:], strict=False):
+                counts[LETTERS[x], LETTERS[y]] += 1
+        return Lexicon(held, -np.log2(counts / counts.sum(axis=1, keepdims=True)))
+
+    @staticmethod
+    @cache
+    def read(path: str) -> Lexicon:
+        """The whole words of a tokenizer's file: entries that start a word."""
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        return Lexicon.of(t[1:].lower() for t in vocabulary if t[:1] in "\u0120\u2581")
+
+    def covered(self, value: str) -> int:
+        """Letters of the value that words cover, the longest word from each place first."""
+        total = 0
+        for run in re.findall("[a-z]{4,}", value):
+            i = 0
+            while i < len(run) - 3:
+                n = next((n for n in range(min(self.longest, len(run) - i), 3, -1) if run[i : i + n] in self.words), 0)
+                total += n
+                i += n or 1
+        return total
+
+    def surprise(self, value: str) -> float:
+        """Mean surprise of the value's steps."""
+        at = np.fromiter((LETTERS.get(c, 26) for c in value), np.int64, len(value))
+        return float(self.steps[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
+
+
 def propose(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates, in order, without overlaps."""
     if not (ASSIGN.search(text) or LONG.search(text)):
         return []
     found: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
+        held, at, new = found, 0, []
         for m in pattern.finditer(text):
             s, e = m.span(1 if pattern.groups else 0)
-            if all(e <= a or b <= s for a, b, _ in found):
-                found.append((s, e, kind))
-    return sorted(found)
+            # Both lists are in order and free of overlaps, so one walk along `held` finds what a match could touch.
+            while at < len(held) and held[at][1] <= s:
+                at += 1
+            if at == len(held) or e <= held[at][0]:
+                new.append((s, e, kind))
+        found = sorted(found + new) if new else found
+    return found
 
 
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(value: str, kind: str, before: str) -> list[float]:
-    """`before` is what stands in front of the value, up to 60 characters."""
+PATH = re.compile(r"[\w.-]*/[\w./-]*|\b[\w-]+\.(?:py|js|ts|md|txt|ya?ml|json|env|cfg|ini|lock|toml|pem|sh)\b")
+
+
+def features(value: str, kind: str, before: str, after: str, lexicon: Lexicon) -> list[float]:
+    """`before` and `after` are what stands around the value, up to REACH characters."""
     n = len(value)
     classes = [_class(c) for c in value]
     counts = [classes.count(k) / n for k in range(4)]
@@ -77,34 +130,37 @@ def features(value: str, kind: str, before: str) -> list[float]:
     changes = sum(v for (a, b), v in steps.items() if a != b) / max(n - 1, 1)
     tally = Counter(value)
     entropy = -sum(v / n * math.log2(v / n) for v in tally.values())
-    covered = sum(len(m) for m in GROUPS.findall(value)) / n
     near, whole = before.lower(), value.lower()
-    path = re.search(r"(\S*/\S*|\S+\.(?:py|js|md|txt|ya?ml|json|env|cfg|ini|lock))\W*$", before)
+    far = after.lower()
     return [
         math.log(n),
         *counts,
         changes,
         steps[(2, 0)] / n + steps[(0, 2)] / n,
         steps[(0, 1)] / n + steps[(1, 0)] / n,
+        lexicon.surprise(whole),
+        lexicon.surprise("".join(c for c in whole if c in LETTERS)),
         entropy,
         entropy / max(math.log2(n), 1),
-        covered,
+        lexicon.covered(whole) / n,
         max(tally.values()) / n,
         max((len(x) for x in re.findall(r"[a-z]+", whole)), default=0) / n,
         float(all(c in string.hexdigits for c in value)),
         float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", whole))),
         float(value[:4] in ("AKIA", "ASIA", "ghp_", "xoxb", "AIza", "sk_l")),
         *(float(any(w in near for w in HINTS[h])) for h in HINTS),
+        *(float(any(w in far for w in HINTS[h])) for h in HINTS),
         float(any(w in whole for w in HINTS["harmless"])),
         float(bool(re.search(r"[\w\"'][ \t]*[:=][ \t]*[\"']?$", before))),
-        float(bool(path)),
+        float(bool(PATH.search(before))),
+        float(bool(PATH.search(after))),
         float(value.count("/") + value.count("-") + value.count("_")) / n,
         float([k for k, _ in PATTERNS].index(kind)),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, int]]:
-    """(value, kind, before, 1 if a secret)."""
+def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
+    """(value, kind, before, after, 1 if a secret)."""
     rng = random.Random(seed)
     syllables = ("the", "an", "er", "in", "con", "ter", "ing", "ver", "data", "user", "file", "name", "ment", "port", "load", "set", "ion", "al", "re", "st", "max", "id", "get", "list")
     hexes, base62 = "0123456789abcdef", string.ascii_letters + string.digits
@@ -121,6 +177,10 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
     def name(telling: bool) -> str:
         return rng.choice(HINTS["telling"] if telling else ("version", "id", "path", "ref", "name", "build")) + rng.choice(("=", " = ", ": ", '="', ' = "', '": "'))
 
+    def later(digest: bool = False) -> str:
+        said = (" is the sha256 of the file", " as checksum", " in the commit", " (md5)") if digest and rng.random() < 0.5 else ()
+        return rng.choice(said or ("", '"', " ", "\n", ". ", " in src/" + word() + "/" + word() + ".py", ", ")) + prose()
+
     out = []
     for _ in range(n // 2):
         r = rng.random()
@@ -145,7 +205,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         elif r < 0.4:
             out.append((word(2, 4) + rng.choice((",", ".", ";", "()", "")), "assigned", prose() + name(True), 0))
         elif r < 0.55:
-            out.append((some(hexes, 40, 64), "opaque", prose() + rng.choice(HINTS["digest"]) + rng.choice((" ", ": ", "=", "-")), 0))
+            out.append((some(hexes, 40, 64), "opaque", prose() + (rng.choice(HINTS["digest"]) + rng.choice((" ", ": ", "=", "-")) if rng.random() < 0.7 else ""), 0))
         elif r < 0.65:
             h = some(hexes, 32, 32)
             out.append(("-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])), "opaque", prose() + rng.choice(("", "uuid ", name(False))), 0))
@@ -155,7 +215,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
             out.append((some(string.digits + "-", 24, 40), "opaque", prose(), 0))
         else:
             out.append((rng.choice(string.ascii_letters) * rng.randint(24, 40) + some(string.digits, 1, 2), "opaque", prose(), 0))
-    return out
+    return [(value, kind, before, later(not label and kind == "opaque"), label) for value, kind, before, label in out]
 
 
 @dataclass
@@ -206,28 +266,33 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
     return np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
 
 
-@cache
-def forest(trees: int = 40, depth: int = 12, least: int = 3, seed: int = 9) -> Forest:
-    rows = labelled_findings()
-    x, y = np.array([features(v, k, b) for v, k, b, _ in rows]), np.array([float(t) for *_, t in rows])
+def fit(rows: Sequence[tuple[str, str, str, str, int]], lexicon: Lexicon, trees: int = 40, depth: int = 12, least: int = 3, seed: int = 9) -> Forest:
+    """From findings as `labelled_findings` has them."""
+    x, y = np.array([features(*row[:4], lexicon) for row in rows]), np.array([float(row[4]) for row in rows])
     rng = np.random.default_rng(seed)
     return Forest([_grow(x, y, rng, depth, least) for _ in range(trees)])
 
 
-def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
+@cache
+def forest(lexicon: Lexicon) -> Forest:
+    return fit(labelled_findings(), lexicon)
+
+
+def scan(docs: DataFrame, lexicon: Lexicon, model: Forest | None = None, least: float = 0.5) -> DataFrame:
     """OUT: one row per finding; `secret` where the forest's score is at least `least`."""
-    sent = docs.sparkSession.sparkContext.broadcast(forest())
+    sent = docs.sparkSession.sparkContext.broadcast((lexicon, model or forest(lexicon)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
+        words, trees = sent.value
         for batch in rows_of(batches):
             rows, x = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for s, e, kind in propose(text or ""):
-                    x.append(features(text[s:e], kind, text[max(0, s - 60) : s]))
+                    x.append(features(text[s:e], kind, text[max(0, s - REACH) : s], text[e : e + REACH], words))
                     rows.append((doc, kind, s, e, hashlib.sha256(text[s:e].encode()).hexdigest()))
             if rows:
-                score = sent.value.score(np.array(x))
+                score = trees.score(np.array(x))
                 columns = [*zip(*rows, strict=True), score, score >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
