@@ -13,8 +13,9 @@ others unless they are connected by then. A block returns only links that connec
 What is left out are pairs that are already connected, so components are whole.
 
 Edge cases: null and empty texts have an empty set and stay alone; a text of fewer words than a shingle is one shingle;
-repeated rows each get a row and one class; where one id stands with several texts, each row goes with its text's class;
-an empty table gives an empty table; columns besides the id and the text are not read. Rows without an id get no component.
+repeated rows each get a row and one class; where one id stands with several texts, each row goes with its text's class, and
+a component is named by the smallest id in it; an empty table gives an empty table; columns besides the id and the text are
+not read. Rows without an id get no component and link nothing.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ PART, ROUNDS = 2048, 2
 #: Bytes of sets in a cell of pairs.
 CELL_BYTES = 64_000_000
 PACKED = N * B // 64
-SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
 _WORDS = WordIds()
 _RNG = np.random.default_rng(2024)
 _A = (_RNG.integers(1, 1 << 32, N, dtype=np.uint64) | U64(1)).astype(np.uint32)
@@ -84,7 +85,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             n, sets, bands, bits = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 x = shingles(text or b"", k)
                 least = minima(x) if len(x) else None
                 n.append(len(x))
@@ -92,9 +93,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 bands.append([] if least is None else band_keys(least))
                 bits.append([] if least is None else packed(least))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], names=[c.split()[0] for c in SIGNATURE.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], names=[c.split()[0] for c in SIGNATURE.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -279,11 +280,40 @@ def links(docs: DataFrame, known: DataFrame, k: int, least: int) -> DataFrame:
     return found.union(across(apart, docs, k, least)).distinct()
 
 
-def find(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; `least` is the similarity in hundredths."""
-    known = materialise(signatures(docs, k), "signatures")
+def _find(docs: DataFrame, known: DataFrame, k: int, least: int) -> DataFrame:
     roots = components(links(docs, known, k, least))
     same = known.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     same = same.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
-    joined = known.select("doc_id", "n_shingles", "set_hash").join(same, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    joined = known.select("doc_id", "text_hash", "n_shingles", "set_hash").join(same, "set_hash", "left")
+    return joined.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def find(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) of every row; `least` is the similarity in hundredths."""
+    known = materialise(signatures(docs, k), "signatures")
+    several = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b")
+    if several.isEmpty():
+        found = _find(docs, known, k, least)
+    else:
+        # An id that stands with several texts cannot name them: rows are numbered, and components named by ids again.
+        rows = materialise(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+        numbered = rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+        each = _find(numbered, materialise(signatures(numbered, k), "signatures"), k, least).withColumnRenamed("doc_id", "row")
+        each = each.join(rows.select("row", "doc_id"), "row")
+        least_id = each.groupBy("component_id").agg(F.min("doc_id").alias("least_id"))
+        found = each.join(least_id, "component_id").select("doc_id", "text_hash", "n_shingles", F.col("least_id").alias("component_id"))
+        found = found.unionByName(known.where("doc_id is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def unique(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
+    """One row of each group: that of the smallest id, once. Rows without an id all stay. Columns are those of `docs`."""
+    found = materialise(find(docs, k, least), "near").where("doc_id is not null")
+    gone = found.where("not kept").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti")
+    stays = found.where("kept").select("doc_id", "text_hash").distinct().join(repeated, "doc_id", "left_semi")
+    # Only the rows of repeated ids are moved with their texts; of rows with the same id and text the first in order stays.
+    again = docs.join(repeated, "doc_id", "left_semi").withColumn("text_hash__", F.xxhash64("text"))
+    again = again.join(stays.withColumnRenamed("text_hash", "text_hash__"), ["doc_id", "text_hash__"], "left_semi").dropDuplicates(["doc_id", "text_hash__"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -62,7 +62,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.find(table(spark, sf_dir, "documents"), k=4, least=80)
+    return near.find(table(spark, sf_dir, "documents"), k=4, least=80).drop("text_hash")
 
 
 @query
