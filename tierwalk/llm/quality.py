@@ -7,7 +7,8 @@ score is mapped to a probability by isotonic regression on rows that did not ent
 The fit takes at most `most` labelled rows (parameter); scoring covers every row and whole texts.
 
 Edge cases: null and empty texts count as a text of no words and get a score like any other; with no labels, every score
-is 0.5; equal texts get equal scores; an empty table gives an empty table; other columns are not read.
+is 0.5; where no row was left out of the equations, the raw score itself counts, cut to 0 and 1; rows of one raw score share
+one calibrated score, whatever their labels; equal texts get equal scores; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,8 +91,10 @@ class Model:
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators; the knots are the blocks' mean raw scores, the ends a little inside 0 and 1."""
     blocks: list[list[float]] = []  # mean of y, weight, sum of raw
-    for r, v in sorted(zip(raw.tolist(), y.tolist(), strict=True)):
-        blocks.append([v, 1.0, r])
+    values, place, count = np.unique(raw, return_inverse=True, return_counts=True)
+    means = np.bincount(place, y) / count
+    for r, v, n in zip(values.tolist(), means.tolist(), count.tolist(), strict=True):
+        blocks.append([v, n, r * n])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, w2, r2 = blocks.pop()
             v1, w1, r1 = blocks[-1]
@@ -152,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 12000,
     penalty = np.full(width, ridge * n)
     penalty[-1] = 1e-9
     model.weights = np.linalg.solve(gram + np.diag(penalty) + np.eye(width) * 1e-9, right)
-    held = rows.where(part == 0).select("label", "stats").collect() or rows.select("label", "stats").collect()
+    held = rows.where(part == 0).select("label", "stats").collect()  # a quarter of the bounded sample, a few hundred bytes a row
+    if not held:
+        model.knots, model.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        return model
     raw = model.features(np.array([r.stats for r in held])) @ model.weights
     model.knots, model.levels = isotonic(raw, np.array([r.label for r in held]))
     return model
