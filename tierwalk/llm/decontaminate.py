@@ -1,33 +1,40 @@
 """Benchmark passages in documents, found by a generalised suffix automaton of the benchmark's words.
 
-The automaton is built on the driver from at most `SHARD_WORDS` benchmark words and broadcast (a proven bound: about
-100 bytes a state, two states a word at most). A larger benchmark becomes several automata, and every document streams
-through each of them in the same task, so there is no shuffle whatever the sizes.
+An automaton is built on the driver from at most `SHARD_WORDS` benchmark words (or one item) and sent to the tasks as
+arrays: at most two states and three steps a word, below 100 bytes a word with its dictionary. A larger benchmark becomes
+several automata. At most `HELD_WORDS` words' automata are alive at once, in the driver and in each worker; beyond that,
+documents stream through one such set after another, with what was found so far written in between.
 
 A window is `width` consecutive words of an item, or a whole item of fewer words. While a document's words stream
 through the automaton, the longest match that ends at each word is tracked; a match of `width` words or more, or one that
 ends with a whole short item, marks its words as hit and names the items.
 
-Edge cases: null and empty texts have no words and no hits; an empty benchmark hits nothing; items without words are
+`clean` judges a document as it came: by items and by the share of its words that are hit. Where it only cuts, words on both
+sides of a cut become neighbours; the text is searched and cut again until no window is left.
+
+Edge cases: null and empty texts have no words and no hits; an empty benchmark hits nothing; items without words or id are
 ignored; repeated items each count under their own id; an empty table gives an empty table; columns besides the id and the
-text are not read.
+text are not read, and pass through `clean` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tierwalk.llm.common import rows_of
+from tierwalk.llm.common import materialise, rows_of
 
 WIDTH = 8
-SHARD_WORDS = 500_000
+SHARD_WORDS, HELD_WORDS = 100_000, 2_000_000
 #: Bytes of words, after lower-casing A-Z: digits, a-z and all beyond ASCII; every other byte becomes a blank.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -60,15 +67,50 @@ class Automaton:
                     ends.append((last, min(width, len(seq)), item))
         self.pairs = pairs
         # The state of a window is the ancestor whose lengths include the window's.
-        at: dict[int, dict[int, set[int]]] = {}
+        own: set[tuple[int, int, int]] = set()
         for state, n, item in ends:
             while self.len[self.link[state]] >= n and self.link[state] > 0:
                 state = self.link[state]
-            at.setdefault(state, {}).setdefault(n, set()).add(item)
-        # Each state inherits the windows of its suffixes: visited by length, so suffixes come first.
-        self.out: list[tuple[tuple[int, frozenset[int]], ...]] = [()] * len(self.len)
+            own.add((state, n, item))
+        self._freeze(sorted(own))
+
+    def _freeze(self, own: list[tuple[int, int, int]]) -> None:
+        """Steps and windows as arrays in the order of their states; dictionaries go."""
+        self.first = array("i", [0])
+        self.words, self.to = array("i"), array("i")
+        for state, steps in enumerate(self.next):
+            for c, q in sorted(steps.items()):
+                self.words.append(c)
+                self.to.append(q)
+            self.first.append(len(self.words))
+            self.next[state] = None
+        del self.next
+        self.link, self.len = array("i", self.link), array("i", self.len)
+        self.held = array("i", [state for state, _, _ in own])
+        self.sizes, self.items = array("i", [n for _, n, _ in own]), array("q", [item for _, _, item in own])
+        # The nearest suffix with windows of its own: visited by length, so suffixes come first.
+        mine = set(self.held)
+        self.near = array("i", bytes(4 * len(self.len)))
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
-            self.out[v] = self.out[self.link[v]] + tuple((n, frozenset(x)) for n, x in sorted(at.get(v, {}).items()))
+            self.near[v] = v if v in mine else self.near[self.link[v]]
+
+    def step(self, state: int, c: int) -> int:
+        """The state after c, or 0."""
+        lo, hi = self.first[state], self.first[state + 1]
+        if hi - lo == 1:
+            return self.to[lo] if self.words[lo] == c else 0
+        at = bisect_left(self.words, c, lo, hi)
+        return self.to[at] if at < hi and self.words[at] == c else 0
+
+    def windows(self, state: int) -> Iterator[tuple[int, int]]:
+        """(size, item) of the windows that a state ends with."""
+        state = self.near[state]
+        while state:
+            i = bisect_left(self.held, state)
+            while i < len(self.held) and self.held[i] == state:
+                yield self.sizes[i], self.items[i]
+                i += 1
+            state = self.near[self.link[state]]
 
     @staticmethod
     def _pair(a, b):
@@ -118,20 +160,22 @@ class Automaton:
         else:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
             runs = zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
-        nxt, link, length, out = self.next, self.link, self.len, self.out
+        step, link, length = self.step, self.link, self.len
         for start, stop in runs:
             v = n = 0
             for i, c in enumerate(ids[start:stop].tolist(), start):
-                while v and c not in nxt[v]:
+                while v and not step(v, c):
                     v = link[v]
                     n = length[v]
-                if c in nxt[v]:
-                    v = nxt[v][c]
-                    n += 1
+                to = step(v, c)
+                if to:
+                    v, n = to, n + 1
                 longest = max(longest, n)
-                for size, own in out[v]:
+                if n < self.shortest:
+                    continue
+                for size, item in self.windows(v):
                     if size <= n:
-                        items |= own
+                        items.add(item)
                         s = i + 1 - size
                         if spans and spans[-1][1] >= s:
                             s = spans.pop()[0] if spans[-1][0] <= s else s
@@ -141,21 +185,27 @@ class Automaton:
         return longest if longest >= self.shortest else 0, items, spans
 
 
-def shards(benchmark: DataFrame, most: int = SHARD_WORDS, width: int = WIDTH) -> Iterator[Automaton]:
-    """Automata over the items in turn, each of at most `most` words or one item."""
-    held, n = [], 0
+def shards(benchmark: DataFrame, most: int = SHARD_WORDS, width: int = WIDTH, held_words: int = HELD_WORDS) -> Iterator[list[Automaton]]:
+    """Sets of automata over the items in turn, of at most `held_words` words a set; an automaton has `most` words or one item."""
+    group, in_group, held, n = [], 0, [], 0
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id")
     for row in rows.toLocalIterator():
         words = words_of(row.text.encode("utf-8"))
         if not words:
             continue
-        if held and n + len(words) > most:
-            yield Automaton(held, width)
+        full = in_group and in_group + len(words) > held_words
+        if held and (full or n + len(words) > most):
+            group.append(Automaton(held, width))
             held, n = [], 0
+        if full:
+            yield group
+            group, in_group = [], 0
         held.append((row.item_id, words))
-        n += len(words)
+        n, in_group = n + len(words), in_group + len(words)
     if held:
-        yield Automaton(held, width)
+        group.append(Automaton(held, width))
+    if group:
+        yield group
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,18 +218,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automata: list):
+def _scan(automata: list[Automaton], words: list[bytes]) -> tuple[int, set[int], list[tuple[int, int]]]:
+    """Longest match, items, and hit runs in order, of one document in several automata."""
+    longest, items, spans = 0, set(), []
+    for automaton in automata if words else ():
+        most, own, at = automaton.scan(words)
+        longest, items, spans = max(longest, most), items | own, spans + at
+    return longest, items, merged(spans)
+
+
+def _scanner(sent, last: bool):
+    """Rows of SCHEMA from those before; the text goes on unless this is the last set."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, text, longest, items, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text or b"")
-                longest, items, spans = 0, set(), []
-                for automaton in automata if words else ():
-                    most, own, at = automaton.value.scan(words)
-                    longest, items, spans = max(longest, most), items | own, spans + at
-                spans = merged(spans)
-                rows.append((doc, len(words), sum(e - s for s, e in spans), longest, sorted(items), [{"s": s, "e": e} for s, e in spans]))
+                most, own, at = _scan(sent.value, words)
+                spans = merged([*((x["s"], x["e"]) for x in spans), *at])
+                rows.append((doc, None if last else text, len(words), sum(e - s for s, e in spans), max(longest, most), sorted({*items, *own}), [{"s": s, "e": e} for s, e in spans]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
     return scan
@@ -188,6 +246,7 @@ def _scanner(automata: list):
 SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text", pa.binary()),
         ("n_words", pa.int64()),
         ("n_hit", pa.int64()),
         ("max_match", pa.int64()),
@@ -197,11 +256,27 @@ SCHEMA = pa.schema(
 )
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _words_at_most(benchmark: DataFrame) -> int:
+    """A bound on the benchmark's words: each takes a byte and one to part it from the next."""
+    return (benchmark.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // 2 + 1
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, held_words: int = HELD_WORDS) -> DataFrame:
     """FOUND for each document: word counts, longest match, items that occur, hit runs of words."""
     send = docs.sparkSession.sparkContext.broadcast
-    automata = [send(a) for a in shards(benchmark, shard_words, width)]
-    return docs.select("doc_id", "text").mapInArrow(_scanner(automata), FOUND)
+    alone = _words_at_most(benchmark) <= held_words
+    out = docs.selectExpr("doc_id", "cast(text as binary) as text", "0L as max_match", "cast(array() as array<long>) as items", "cast(array() as array<struct<s:int,e:int>>) as spans")
+    before = None
+    for group in shards(benchmark, shard_words, width, held_words):
+        if before is not None:
+            # Written before the next set is sent, so that two sets are never alive at once.
+            out = materialise(out, "found").select("doc_id", "text", "max_match", "items", "spans")
+            before.destroy()
+        before = send(group)
+        out = out.mapInArrow(_scanner(before, alone), "doc_id long, text binary," + FOUND.removeprefix("doc_id long,"))
+    if before is None:
+        out = out.mapInArrow(_scanner(send([]), True), "doc_id long, text binary," + FOUND.removeprefix("doc_id long,"))
+    return out.drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -219,10 +294,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, most_cover: float = 0.5) -> DataFrame:
+def _cut_all(automata: list[Automaton], text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the given runs, and without whatever windows their going makes."""
+    while spans:
+        text = cut(text, spans)
+        _, _, spans = _scan(automata, words_of(text.encode()))
+    return text
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, most_cover: float = 0.5, shard_words: int = SHARD_WORDS, held_words: int = HELD_WORDS) -> DataFrame:
     """Rows without those that hold `most_items` items or of whose words over `most_cover` are hit; hit runs leave the others' texts."""
-    send = docs.sparkSession.sparkContext.broadcast
-    automata = [send(a) for a in shards(benchmark)]
+    if _words_at_most(benchmark) > held_words:
+        return _clean_in_turn(docs, benchmark, most_items, most_cover, shard_words, held_words)
+    sent = docs.sparkSession.sparkContext.broadcast(next(shards(benchmark, shard_words, held_words=held_words), []))
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,19 +314,46 @@ def clean(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, most_cover
             kept, texts = [], []
             for i, text in enumerate(batch.column(place).to_pylist()):
                 words = words_of((text or "").encode())
-                items, spans = set(), []
-                for automaton in automata if words else ():
-                    _, own, at = automaton.value.scan(words)
-                    items, spans = items | own, spans + at
-                spans = merged(spans)
+                _, items, spans = _scan(sent.value, words)
                 if len(items) < most_items and sum(e - s for s, e in spans) <= most_cover * len(words):
                     kept.append(i)
-                    texts.append(cut(text, spans) if spans else text)
+                    texts.append(_cut_all(sent.value, text, spans) if spans else text)
             out = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, out.schema.field(j).type) if j == place else out.column(j) for j in range(out.num_columns)], schema=out.schema)
 
     return docs.mapInArrow(keep, docs.schema)
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of (doc_id, text, spans), runs cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            texts = [cut(t, [(x["s"], x["e"]) for x in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+
+
+def _clean_in_turn(docs: DataFrame, benchmark: DataFrame, most_items: int, most_cover: float, shard_words: int, held_words: int) -> DataFrame:
+    """The same for a benchmark of several sets: rows are numbered, judged over all sets, and cut until no set finds a window."""
+    row = next(name for name in (f"row_{i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = find(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, shard_words=shard_words, held_words=held_words)
+    stay = materialise(found.where(f"size(items) < {most_items} and n_hit <= {most_cover} * n_words").select("doc_id", "spans"), "judged")
+    whole = rows.join(stay.where("size(spans) = 0").select(F.col("doc_id").alias(row)), row, "left_semi")
+    going, done = rows.select(F.col(row).alias("doc_id"), "text").join(stay.where("size(spans) > 0"), "doc_id"), None
+    while True:
+        texts = materialise(_cuts(going), "cut")
+        left = materialise(find(texts, benchmark, shard_words=shard_words, held_words=held_words).where("n_hit > 0").select("doc_id", "spans"), "left")
+        clear = texts.join(left, "doc_id", "left_anti")
+        done = clear if done is None else done.unionByName(clear)
+        if left.isEmpty():
+            break
+        going = texts.join(left, "doc_id")
+    shorter = rows.drop("text").join(done.withColumnRenamed("doc_id", row), row)
+    return whole.select(*docs.columns).unionByName(shorter.select(*docs.columns))
+
+
 def items_hash(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
