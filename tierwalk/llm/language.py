@@ -4,7 +4,8 @@ Each language has a codeword of bits; for every bit a logistic classifier over h
 text lies. Decoding sums each language's losses over the bits, weighted by how well the bit's classifier did on rows it
 was not fitted to, and takes the least. `ambiguous` marks a small gap to the second.
 
-The fit takes at most `most` rows (parameter). Whole texts are scored, one by one, in the task that reads them.
+The fit takes at most `most` rows, `each` of a language at most (parameters); tasks turn them into n-grams, so that the
+driver gets at most 48 kB of each, however long its text. Whole texts are scored, one by one, in the task that reads them.
 
 Edge cases: a null text, or one without any letter, is `und` with score 0; with nothing to learn from, every text is
 `und`; equal texts get equal results; an empty table gives an empty table; other columns are not read.
@@ -71,14 +72,13 @@ class Model:
         return p / p.sum(axis=1, keepdims=True), gap
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-5) -> Model | None:
-    """From (text, language): Adam on the logistic loss of all bits at once; every fifth row only weighs the bits."""
-    rows = [(t, lang) for t, lang in rows if t and LETTER.search(t)]
+def fit(rows: list[tuple[np.ndarray, str]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-5) -> Model | None:
+    """From (grams, language): Adam on the logistic loss of all bits at once; every fifth row only weighs the bits."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
     code = codewords(len(languages))
-    x = np.stack([grams(t) for t, _ in rows])
+    x = np.stack([g for g, _ in rows])
     y = code[[languages.index(lang) for _, lang in rows]]
     test = np.arange(len(rows)) % 5 == 4
     if len(rows) < 50:
@@ -98,9 +98,28 @@ def fit(rows: list[tuple[str, str]], rounds: int = 150, rate: float = 0.3, decay
     return Model(languages, code, w, b, (trust / trust.sum() * len(trust)).astype(np.float32))
 
 
-def train(docs: DataFrame, learn: Column, most: int = 3000) -> Model | None:
-    rows = labelled(docs, docs, "lang", learn, most)
-    return fit([(r.text, r.label) for r in rows.sort("doc_id", "text").collect()])
+def _gram_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, place, value) of the rows with a letter: the grams that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 256):
+            held = [(i, grams(t)) for i, t in enumerate(batch.column(1).to_pylist()) if t and LETTER.search(t)]
+            places = [np.flatnonzero(g) for _, g in held]
+            some = batch.take(pa.array([i for i, _ in held], pa.int64()))
+            values = [g[p].astype("<f4").tobytes() for (_, g), p in zip(held, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "place", "value"])
+
+    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label string, place binary, value binary")
+
+
+def train(docs: DataFrame, learn: Column, most: int = 3000, each: int = 600) -> Model | None:
+    rows = _gram_rows(labelled(docs, docs, "lang", learn, most, each)).collect()
+    held = []
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.place, r.value)):
+        x = np.zeros(1 << BITS, np.float32)
+        x[np.frombuffer(r.place, "<u2")] = np.frombuffer(r.value, "<f4")
+        held.append((x, r.label))
+    return fit(held)
 
 
 def predict(docs: DataFrame, model: Model | None, unsure: float = 0.5) -> DataFrame:

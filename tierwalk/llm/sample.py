@@ -1,17 +1,27 @@
-"""Bounded samples of labelled rows for fitting."""
+"""Bounded samples of labelled rows for fitting.
+
+Edge cases: rows without an id or a label are left out; of repeated ids the first in label order counts; of several texts
+under one id all are taken; an empty table gives an empty sample.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, each: int | None = None) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled rows for which `learn` holds, picked by a hash of the id.
 
-    Ids are picked first, from columns of a few bytes, and only then do texts join: the pick holds at most `most` ids, so
-    it can be broadcast. Rows without an id or a label are left out; of repeated ids the first in label order counts.
+    With `each`, at most so many of every label come first, so that a rare label is not lost beside common ones; the
+    ranks are cut before the shuffle, so a common label costs no more than a rare one. Ids are picked first, from columns
+    of a few bytes, and only then do texts join: the pick holds at most `most` ids, so it can be broadcast.
     """
     ids = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null").where(learn)
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).groupBy("doc_id").agg(F.min("label").alias("label"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"))
+    if each is not None:
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order[:2]))).where(F.col("rank") <= each)
+        order = (F.col("rank"), *order)
+    picked = ids.orderBy(*order).limit(most).groupBy("doc_id").agg(F.min("label").alias("label"))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
