@@ -6,7 +6,9 @@ that of its worst window, over all windows, which overlap and reach from the fir
 
 The labels are those of whole texts. In the fit, a text therefore answers for its highest window (and a clean one for a
 second, random one). Vectors start from the words' log odds in the labelled sample. The fit takes at most `most` labelled
-rows (parameter) and is repeatable.
+rows and of each at most `FIT_WORDS` words, as evenly spread windows (parameters), so that what reaches the driver is bounded;
+it is repeatable. Scoring reads every word: windows of `STEPS` words start every `STRIDE`, so that any run of 17 words lies whole
+in one.
 
 Edge cases: null and empty texts are one window of padding, scored as such; texts shorter than a window are padded; with
 no labels or one class only, every score is 0; equal texts get equal scores; an empty table gives an empty table; other
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from tierwalk.llm.common import rows_of
 from tierwalk.llm.sample import labelled
 
-STEPS, STRIDE = 32, 24
+STEPS, STRIDE = 32, 16
+#: Words of a labelled text that the fit sees at most.
+FIT_WORDS = 2048
 HIDDEN, WORD, CHAR, ATTEND = 8, 8, 8, 8
 GRAM_BITS = 12
 #: Bytes after lower-casing: letters, digits and all beyond ASCII stand, the rest parts words.
@@ -137,15 +141,15 @@ class Network:
         return g, dx
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 5, vocabulary: int = 20_000, least: int = 3) -> Network | None:
-    """From (text, 0 or 1)."""
+def fit(rows: list[tuple[list[bytes], int]], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 5, vocabulary: int = 20_000, least: int = 3) -> Network | None:
+    """From (words, 0 or 1)."""
     rng = np.random.default_rng(seed)
     y = np.array([int(v) for _, v in rows])
     if not len(y) or y.min() == y.max():
         return None
     # All words of the sample get numbers of their own here, so that windows are rows of one array.
     numbers: dict[bytes, int] = {}
-    coded = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(t or "")), np.int32) for t, _ in rows]
+    coded = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t), np.int32) for t, _ in rows]
     words = list(numbers) or [b"-"]
     holds, bad = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for c, v in zip(coded, y, strict=True):
@@ -274,9 +278,27 @@ class Scorer:
         return sigmoid(best)
 
 
+def spread(words: list[bytes], most: int = FIT_WORDS) -> list[bytes]:
+    """All words, or of a longer text so many in evenly spread runs of STEPS."""
+    if len(words) <= most:
+        return words
+    return [w for s in np.linspace(0, len(words) - STEPS, most // STEPS).astype(int).tolist() for w in words[s : s + STEPS]]
+
+
+def _word_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, words, label), words parted by blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 256):
+            words = [b" ".join(spread(words_of(t or ""))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], names=["doc_id", "words", "label"])
+
+    return rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, words binary, label int")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 10_000, label: str = "toxic") -> Network | None:
-    rows = labelled(docs, labels, label, learn, most)
-    return fit([(r.text, r.label) for r in rows.sort("doc_id", "text").collect()])
+    rows = _word_rows(labelled(docs, labels, label, learn, most)).collect()
+    return fit([(r.words.split(), r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
