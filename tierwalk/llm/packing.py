@@ -2,10 +2,11 @@
 
 Documents are cut into pieces of at most `capacity` tokens. Pieces are dealt into cells of about `cell` pieces, whatever
 their documents, and each cell is packed on several islands (rows of a DataFrame, so tasks of their own). An individual is
-a set of bins. Crossover injects well-filled bins of one parent whole into the other, drops the bins that now hold
-duplicates, and best-fits the pieces displaced. After each epoch all islands of a cell receive one another's elites; the
-best individual of the last epoch counts. A cell stops early at a lower bound. Pieces in bins with much room left are then
-dealt and packed once more across cells.
+a set of bins. Crossover injects well-filled bins of one parent whole into the other and drops the bins that now hold
+duplicates; of the pieces displaced, those that fill a bin to the brim in place of a smaller piece are exchanged for it, and
+the rest is best-fitted. After each epoch all islands of a cell receive one another's elites; the best individual of the
+last epoch counts. A cell whose bins are as few as a lower bound allows is settled and leaves the epochs; the others go on.
+Pieces in bins with much room left are then dealt and packed once more across cells.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are packed as often as they occur; an empty table
 gives an empty table; other columns are not read. A cell holds a bounded number of pieces, never all of one document.
@@ -13,6 +14,7 @@ gives an empty table; other columns are not read. A cell holds a bounded number
 
 from __future__ import annotations
 
+import heapq
 import random
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from tierwalk.llm.common import materialise, rows_of
 from tierwalk.llm.tokens import encoder
 
 CAPACITY = 2048
-CELL, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 6, 10
+CELL, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 4, 6, 12
 #: A bin with this share free takes part in the second round.
 ROOM = 1 / 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,18 +60,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
 class Bins:
     """An individual: bins as lists of piece numbers, with the room left in each."""
 
-    def __init__(self, lengths: list[int], capacity: int):
+    def __init__(self, lengths: list[int], capacity: int, held: list[list[int]] | None = None):
         self.lengths, self.capacity = lengths, capacity
-        self.held: list[list[int]] = []
-        self.room: list[int] = []
+        self.held: list[list[int]] = held or []
+        self.room: list[int] = [capacity - sum(map(lengths.__getitem__, h)) for h in self.held]
         self.by_room: dict[int, list[int]] = {}
         self.rooms = 0  # bit r is set if a bin has room r
-
-    def open(self, held: list[int]) -> None:
-        room = self.capacity - sum(self.lengths[i] for i in held)
-        self.held.append(held)
-        self.room.append(room)
-        self._offer(len(self.held) - 1, room)
+        for at, room in enumerate(self.room):
+            self._offer(at, room)
 
     def _offer(self, at: int, room: int) -> None:
         self.by_room.setdefault(room, []).append(at)
@@ -112,73 +110,84 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return best
 
 
+def filled(held: list[list[int]], loose: list[int], lengths: list[int], capacity: int) -> Bins:
+    """Bins in which loose pieces stand in for smaller ones where they fill a bin to the brim; the rest is best-fitted."""
+    room = [capacity - sum(map(lengths.__getitem__, h)) for h in held]
+    wanted: dict[int, list[tuple[int, int]]] = {}  # by the length that would fill the bin in a piece's place
+    for b, r in enumerate(room):
+        if r:
+            for i in held[b]:
+                wanted.setdefault(lengths[i] + r, []).append((b, i))
+    queue, rest = [(-lengths[i], i) for i in loose], []
+    heapq.heapify(queue)
+    while queue:
+        n, i = heapq.heappop(queue)
+        places = wanted.get(-n)
+        while places:
+            b, j = places.pop()
+            if room[b] and lengths[j] + room[b] == -n and j in held[b]:
+                held[b] = [i if x == j else x for x in held[b]]
+                room[b] = 0
+                heapq.heappush(queue, (-lengths[j], j))
+                break
+        else:
+            rest.append(i)
+    bins = Bins(lengths, capacity, held)
+    bins.fit(rest)
+    return bins
+
+
 def cross(a: Bins, b: Bins, rng: random.Random) -> Bins:
     """A child of a with some of b's well-filled bins."""
-    child = Bins(a.lengths, a.capacity)
     full = sorted(range(len(b.held)), key=b.room.__getitem__)[: max(1, len(b.held) * 2 // 3)]
-    injected = rng.sample(full, max(1, len(full) // 3))
-    taken = {i for k in injected for i in b.held[k]}
+    held = [b.held[k] for k in rng.sample(full, max(1, len(full) // 3))]
+    taken = {i for h in held for i in h}
     loose: list[int] = []
-    for k in injected:
-        child.open(list(b.held[k]))
-    for held in a.held:
-        if taken.isdisjoint(held):
-            child.open(list(held))
+    for h in a.held:
+        if taken.isdisjoint(h):
+            held.append(h)
         else:
-            loose += [i for i in held if i not in taken]
-    loose.sort(key=lambda i: -a.lengths[i])
-    child.fit(loose)
-    return child
+            loose += [i for i in h if i not in taken]
+    return filled([list(h) for h in held], loose, a.lengths, a.capacity)
 
 
 def shaken(a: Bins, rng: random.Random) -> Bins:
-    """A mutant: the roomiest bins and a few others are dissolved and best-fitted anew."""
+    """A mutant: the roomiest bins and a few others are dissolved and their pieces placed anew."""
     order = sorted(range(len(a.held)), key=lambda k: -a.room[k])
     gone = {*order[: max(1, len(order) // 50)], *rng.sample(order, max(1, len(order) // 25))}
-    mutant = Bins(a.lengths, a.capacity)
-    loose = [i for k in gone for i in a.held[k]]
-    for k, held in enumerate(a.held):
-        if k not in gone:
-            mutant.open(list(held))
-    loose.sort(key=lambda i: -a.lengths[i])
-    mutant.fit(loose)
-    return mutant
-
-
-def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int, population: int, children: int) -> list[int]:
-    """The bin of each piece in the best individual after one epoch; elites come from all islands."""
+    return filled([list(h) for k, h in enumerate(a.held) if k not in gone], [i for k in gone for i in a.held[k]], a.lengths, a.capacity)
+
+
+def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int, population: int, children: int) -> tuple[list[int], bool]:
+    """The bin of each piece in the best individual after one epoch, and whether it is at the bound; elites come from all islands."""
     rng, bound, pool = random.Random(seed), lower_bound(lengths, capacity), []
     for genome in elites:
         groups: dict[int, list[int]] = {}
         for i, g in enumerate(genome):
             groups.setdefault(g, []).append(i)
-        bins = Bins(lengths, capacity)
-        for held in groups.values():
-            bins.open(held)
-        pool.append(bins)
+        pool.append(Bins(lengths, capacity, list(groups.values())))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    while len(pool) < population and not (pool and min(x.merit() for x in pool)[0] <= bound):
-        bins = Bins(lengths, capacity)
-        noise = 0 if not pool else capacity / 20
-        bins.fit(order if not noise else sorted(order, key=lambda i: -lengths[i] + rng.uniform(-noise, noise)))
+    while len(pool) < population and not any(len(x.held) <= bound for x in pool):
+        bins, noise = Bins(lengths, capacity), capacity / 20 if pool else 0
+        bins.fit(sorted(order, key=lambda i: -lengths[i] + rng.uniform(-noise, noise)) if noise else order)
         pool.append(bins)
+    pool.sort(key=Bins.merit)
     for _ in range(children):
-        pool.sort(key=Bins.merit)
         if len(pool[0].held) <= bound:
             break
-        a, b = sorted(rng.sample(range(len(pool)), 2)) if len(pool) > 1 else (0, 0)
-        child = cross(pool[a], pool[b], rng)
-        if rng.random() < 0.5:
+        # Better parents come up more often; the child displaces the worst, unless it is no better or as good as another.
+        a, b = (min(rng.sample(range(len(pool)), 2)) for _ in range(2)) if len(pool) > 1 else (0, 0)
+        child = cross(pool[a], pool[b], rng) if a != b else shaken(pool[a], rng)
+        if a != b and rng.random() < 0.5:
             child = shaken(child, rng)
-        worst = max(range(len(pool)), key=lambda k: pool[k].merit())
-        if child.merit() < pool[worst].merit():
-            pool[worst] = child
-    best = min(pool, key=Bins.merit)
+        if child.merit() < pool[-1].merit() and all(child.merit() != x.merit() for x in pool):
+            pool[-1] = child
+            pool.sort(key=Bins.merit)
     genome = [0] * len(lengths)
-    for g, held in enumerate(best.held):
+    for g, held in enumerate(pool[0].held):
         for i in held:
             genome[i] = g
-    return genome
+    return genome, len(pool[0].held) <= bound
 
 
 def _cells(items: DataFrame, cell: int) -> DataFrame:
@@ -191,21 +200,29 @@ def _cells(items: DataFrame, cell: int) -> DataFrame:
 def _round(items: DataFrame, capacity: int, cell: int, islands: int, epochs: int, population: int, children: int, first: int) -> DataFrame:
     """The items with (sequence_id, place, used): place is the order within the sequence, used its tokens."""
     spread = max(8, items.sparkSession.sparkContext.defaultParallelism)
-    state = materialise(_cells(items, cell).withColumn("elites", F.expr("cast(array() as array<array<int>>)")), "cells")
-    schema = "cell long, island int, genome array<int>"
+    cells = materialise(_cells(items, cell), "cells")
+    lengths = cells.select("cell", F.expr("transform(items, x -> int(x.length))").alias("lengths"))
+    schema = "cell long, island int, genome array<int>, settled boolean"
 
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1):
             row = batch.to_pylist()[0]
-            genome = evolve(row["lengths"], capacity, row["elites"], hash((row["cell"], row["island"], len(row["elites"]))), population, children)
-            yield pa.RecordBatch.from_arrays([pa.array([row["cell"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([genome], pa.list_(pa.int32()))], names=["cell", "island", "genome"])
+            genome, settled = evolve(row["lengths"], capacity, row["elites"], hash((row["cell"], row["island"], row["epoch"])), population, children)
+            columns = [pa.array([row["cell"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([genome], pa.list_(pa.int32())), pa.array([settled])]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "island", "genome", "settled"])
 
+    done, going = None, lengths.withColumn("elites", F.expr("cast(array() as array<array<int>>)"))
     for i in range(epochs):
-        on = state.select("cell", F.expr("transform(items, x -> int(x.length))").alias("lengths"), "elites", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+        on = going.select("cell", "lengths", "elites", F.lit(i).alias("epoch"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
         grown = on.repartition(spread, "cell", "island").mapInArrow(epoch, schema)
-        best = grown.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("island", "genome"))).alias("grown"))
-        elites = best.select("cell", F.expr("transform(grown, x -> x.genome)").alias("elites"))
-        state = materialise(state.drop("elites").join(elites, "cell"), f"epoch{i}")
+        best = grown.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("island", "genome"))).alias("grown"), F.max("settled").alias("settled"))
+        best = materialise(best.select("cell", F.expr("transform(grown, x -> x.genome)").alias("elites"), "settled"), f"epoch{i}")
+        now = best.drop("settled") if i == epochs - 1 else best.where("settled").drop("settled")
+        done = now if done is None else done.union(now)
+        going = lengths.join(best.where("not settled").drop("settled"), "cell")
+        if best.where("not settled").isEmpty():
+            break
+    state = cells.join(done, "cell")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1):
