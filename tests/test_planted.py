@@ -89,6 +89,42 @@ def test_resolution_never_picks_among_several(spark):
     assert resolve.apply(g).edges.where("target_qname is null").count() == 2
 
 
+def test_links_of_every_pass(spark):
+    nodes = [
+        ("Class", "Base", "Base", "b.x", False), ("Method", "go", "Base::go", "b.x", False), ("Class", "Kid", "Kid", "k.x", False), ("Method", "only", "Kid::only", "k.x", False),
+        ("Class", "Twin", "Twin", "k.x", False), ("Method", "only", "Twin::only", "k.x", False), ("Class", "Site", "Site", "s.x", False), ("Method", "base", "Site::base", "s.x", False),
+        ("Method", "self", "Base::self", "b.x", False), ("Table", "Trans", "dbo.Trans", "t.q", False), ("Column", "Id", "dbo.Trans::Id", "t.q", False), ("Table", "Old", "a.Old", "t.q", False),
+        ("Table", "Old", "b.Old", "t.q", False), ("File", "u.x", "lib/u.x", "lib/u.x", False), ("File", "v.x", "lib/v.x", "lib/v.x", False), ("File", "v.x", "app/v.x", "app/v.x", False), ("Function", "Insert", "dbo.Insert", "t.q", False),
+    ]
+    g = graph(spark, nodes, [])
+    files = spark.createDataFrame([(f, "sql" if f == "t.q" else "x", f, True) for f in ("b.x", "k.x", "s.x", "t.q", "lib/u.x", "lib/v.x", "app/v.x", "lib/w.x", "none")], FILES)
+    types = {"Site::base": ("Base", None), "Base::self": ("static", None), "Kid::only": (None, "Base")}
+    from pyspark.sql import types as T
+
+    typed = g.nodes.withColumn("declared_type", F.lit(None).cast(T.StringType())).withColumn("doc_type", F.lit(None).cast(T.StringType()))
+    for name, (said, told) in types.items():
+        typed = typed.withColumn("declared_type", F.when(F.col("qualified_name") == name, said).otherwise(F.col("declared_type"))).withColumn("doc_type", F.when(F.col("qualified_name") == name, told).otherwise(F.col("doc_type")))
+    asked = [
+        ("EXTENDS", "Kid", "Base", "k.x", "RESOLVED"), ("EXTENDS", "Twin", "Base", "k.x", "RESOLVED"), ("ALIASES", "Aka2", "Aka", "s.x", "RESOLVED"), ("ALIASES", "Aka", "Base", "s.x", "RESOLVED"), ("ALIASES", "Loop", "Loop2", "s.x", "RESOLVED"), ("ALIASES", "Loop2", "Loop", "s.x", "RESOLVED"),
+        ("CALLS", "s", "Aka2::go", "s.x", "RESOLVED"), ("NEW", "s", "Aka2", "s.x", "RESOLVED"), ("CALLS", "s", "Loop::go", "s.x", "RESOLVED"), ("CALLS", "s", "Kid::go", "s.x", "RESOLVED"), ("CALLS", "s", "Base::only", "s.x", "RESOLVED"),
+        ("CALLS", "s", "Site::base()::self()::go", "s.x", "RESOLVED"), ("CALLS", "s", "Kid::only()::go", "s.x", "RESOLVED"), ("CALLS", "s", "Site::base()::only", "s.x", "RESOLVED"), ("CALLS", "s", "Site::nothing()::go", "s.x", "RESOLVED"), ("CALLS", "s", "Vendor::go", "s.x", "RESOLVED"),
+        ("CALLS", "s", "go", "s.x", "HEURISTIC"), ("CALLS", "s", "go", "s.x", "RESOLVED"), ("CALLS", "s", "only", "s.x", "HEURISTIC"), ("CALLS", "s", "go", "t.q", "HEURISTIC"), ("CALLS", "s", "insert", "t.q", "RESOLVED"), ("CALLS", "s", "DBO.insert", "s.x", "HEURISTIC"),
+        ("WRITES", "s", "DBO.trans", "s.x", "RESOLVED"), ("WRITES", "s", "other.trans::ID", "s.x", "HEURISTIC"), ("READS", "s", "trans::id", "s.x", "RESOLVED"), ("READS", "s", "trans", "s.x", "RESOLVED"), ("WRITES", "s", "old", "s.x", "RESOLVED"),
+        ("INCLUDES", "lib/w.x", "u.x", "lib/w.x", "RESOLVED"), ("INCLUDES", "lib/w.x", ".././app/v.x", "lib/w.x", "RESOLVED"), ("INCLUDES", "lib/w.x", "/v.x", "lib/w.x", "HEURISTIC"), ("INCLUDES", "lib/w.x", "/app/v.x", "lib/w.x", "HEURISTIC"), ("IMPORTS", "lib/w.x", "lib/u.x", "lib/w.x", "RESOLVED"), ("CALLS", "s", "Base::go", "s.x", "DYNAMIC"),
+    ]
+    edges = spark.createDataFrame([(k, s, None, r, f, i, t, None) for i, (k, s, r, f, t) in enumerate(asked)], EDGES)
+    rows = resolve.resolve(Graph(files, typed, edges), folding=["sql"], guesses_only=True).where("kind not in ('EXTENDS', 'ALIASES')").collect()
+    got = sorted((asked[r.line][0], r.target_raw, asked[r.line][4], r.target, r.via, r.confidence_tier) for r in rows)
+    assert got == sorted([
+        ("CALLS", "Aka2::go", "RESOLVED", "Base::go", "exact", "RESOLVED"), ("NEW", "Aka2", "RESOLVED", "Base", "exact", "RESOLVED"), ("CALLS", "Kid::go", "RESOLVED", "Base::go", "inherited", "RESOLVED"),
+        ("CALLS", "Base::only", "RESOLVED", "Kid::only", "subtype", "HEURISTIC"), ("CALLS", "Base::only", "RESOLVED", "Twin::only", "subtype", "HEURISTIC"), ("CALLS", "Site::base()::self()::go", "RESOLVED", "Base::go", "chain", "RESOLVED"),
+        ("CALLS", "Kid::only()::go", "RESOLVED", "Base::go", "chain", "HEURISTIC"), ("CALLS", "Site::base()::only", "RESOLVED", "Kid::only", "subtype", "HEURISTIC"), ("CALLS", "Site::base()::only", "RESOLVED", "Twin::only", "subtype", "HEURISTIC"),
+        ("CALLS", "Site::nothing()::go", "RESOLVED", "Base::go", "method", "HEURISTIC"), ("CALLS", "go", "HEURISTIC", "Base::go", "method", "HEURISTIC"), ("CALLS", "insert", "RESOLVED", "dbo.Insert", "folded", "RESOLVED"), ("CALLS", "DBO.insert", "HEURISTIC", "dbo.Insert", "folded", "HEURISTIC"),
+        ("WRITES", "DBO.trans", "RESOLVED", "dbo.Trans", "folded", "RESOLVED"), ("WRITES", "other.trans::ID", "HEURISTIC", "dbo.Trans::Id", "table", "HEURISTIC"), ("READS", "trans::id", "RESOLVED", "dbo.Trans::Id", "table", "RESOLVED"),
+        ("INCLUDES", "u.x", "RESOLVED", "lib/u.x", "path", "RESOLVED"), ("INCLUDES", ".././app/v.x", "RESOLVED", "app/v.x", "path", "RESOLVED"), ("INCLUDES", "/app/v.x", "HEURISTIC", "app/v.x", "tail", "HEURISTIC"), ("IMPORTS", "lib/u.x", "RESOLVED", "lib/u.x", "path", "RESOLVED"),
+    ])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)]
     got = {r.node: r.root for r in analytics.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

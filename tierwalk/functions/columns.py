@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tierwalk.functions.vocabulary import TIERS
+from tierwalk.functions.vocabulary import TIERS, TOKEN_LENGTH, TOKEN_STOP
 
 
 def tier_rank(tier: str | Column = "confidence_tier") -> Column:
@@ -122,13 +122,10 @@ def exact_match(query: str, name: str = "name", qname: str = "qualified_name") -
     return (F.lower(name) == q) | (F.lower(qname) == q)
 
 
-def name_tokens(query: str, least: int = 4, stop: Iterable[str] = ("with", "from", "this", "that", "into")) -> list[str]:
-    parts = re.split(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])", query)
-    seen: list[str] = []
-    for p in (x.lower() for x in parts):
-        if len(p) >= least and p not in stop and p not in seen:
-            seen.append(p)
-    return seen
+def name_tokens(query: str, least: int = TOKEN_LENGTH, stop: Iterable[str] = TOKEN_STOP) -> list[str]:
+    """Words of a name in lower case, each once: parted at marks and where the case changes (`XMLParser` is two)."""
+    parts = re.split(r"[_\-.\s:/\\]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", query)
+    return list(dict.fromkeys(w for w in map(str.lower, parts) if len(w) >= least and w not in stop))
 
 
 def args_at(k: int, selector: str) -> Column:

@@ -11,6 +11,7 @@ IMPACT_KINDS = ("CALLS", "NEW", "EXTENDS", "IMPLEMENTS", "INCLUDES", "IMPORTS")
 #: Weight of a kind in a blast radius, loss per hop, and the score below which a name is not listed.
 IMPACT_WEIGHTS = {"CALLS": 1.0, "NEW": 1.0, "EXTENDS": 0.9, "IMPLEMENTS": 0.9, "INCLUDES": 0.8, "IMPORTS": 0.8}
 DECAY, FLOOR = 0.7, 0.05
+#: Kinds that operators branch on.
 TYPE_KINDS = ("Class", "Interface", "Trait", "Enum")
 FLOW_KINDS = (*IMPACT_KINDS, "WRITES")
 TEST_KINDS = ("CALLS", "NEW", "REFERENCES", "IMPORTS")
@@ -18,3 +19,13 @@ TEST_KINDS = ("CALLS", "NEW", "REFERENCES", "IMPORTS")
 MIRROR_SHARED, MIRROR_OVERLAP = 25, 0.30
 MODULE_FILES, MODULE_COUNT = 3, 4
 MEMBER = "::"
+#: Fixed values of linking: kinds linked by name and by path, kinds whose dynamic edges are linked too, kinds that act on
+#: tables, what counts as an object of a schema, the mark of a member's declared type, longest chain, widest fan of subtypes.
+FQN_KINDS = ("EXTENDS", "IMPLEMENTS", "USES_TRAIT", "CALLS", "NEW", "ALIASES", "REFERENCES", "WRITES", "ALTERS", "DELETES", "READS")
+PATH_KINDS = ("INCLUDES", "IMPORTS")
+DYNAMIC_LINKED = ("REFERENCES", "ALTERS")
+SCHEMA_KINDS = ("WRITES", "ALTERS")
+SCHEMA_OBJECTS = ("Table", "Column", "View")
+TYPE_OF, CHAIN_STEPS, SUBTYPES = "()", 8, 64
+#: Crumbs of names that say nothing, and the least length of a word of a name.
+TOKEN_STOP, TOKEN_LENGTH = ("get", "set", "new", "add", "the", "and", "for", "with", "from"), 4

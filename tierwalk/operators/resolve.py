@@ -1,34 +1,36 @@
-"""Linking of edges that name their target: passes in order, each taking what the ones before left over.
+"""Linking of edges that name their target.
 
-An edge is linked only to a unique candidate; two or more leave it for the next pass, and in the end unlinked.
+Edges that ask the same question (kind, raw name, tier, language, path) are one request. A request asks for keys in
+several spaces of names, each under the number of a pass; one join with the names answers all of them, and the answer of
+the first pass counts. Where a key has to be unique, two names leave the request for the next pass, and in the end unlinked.
+
+The passes, in order: `path` of a file, `tail` of a path; `exact` name, through aliases; for tables, views and columns
+`folded` case, then the bare `table`; the only `function` of a bare name in the language; a `routine` in a language whose
+routines fold case; a member `inherited` from a type above; a `chain` of declared types, walked step by step; a member that
+a `subtype` declares; the only `method` of a bare name. The last two are guesses and never stronger than HEURISTIC.
+
+Edge cases: DYNAMIC edges name nothing that can be linked, but for two kinds; a site without a language meets the names of
+all languages; cycles of aliases or of inheritance end where a name was seen; no open edges give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierwalk.functions import columns as C
-from tierwalk.functions.vocabulary import INHERIT_KINDS
+from tierwalk.functions.vocabulary import CHAIN_STEPS, DYNAMIC_LINKED, FQN_KINDS, INHERIT_KINDS, PATH_KINDS, SCHEMA_KINDS, SCHEMA_OBJECTS, SUBTYPES, TYPE_OF
 from tierwalk.session import materialise
 from tierwalk.sources.graph import Graph
 
 KEY = ("kind", "source_qname", "target_raw", "file_path", "line", "confidence_tier")
-
-
-def _unique(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, target): keys that exactly one name has."""
-    return keyed.groupBy(*keys).agg(F.countDistinct("qualified_name").alias("n"), F.min("qualified_name").alias("target")).where("n = 1").drop("n")
-
-
-def _pass(open_edges: DataFrame, found: DataFrame, keys: list[str], name: str, tier: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Linked edges of a pass and those it leaves."""
-    hit = open_edges.join(found, keys, "left")
-    linked = hit.where("target is not null").withColumn("via", F.lit(name))
-    if tier:
-        weaker = F.greatest(C.tier_rank(), C.tier_rank(F.lit(tier)))
-        linked = linked.withColumn("confidence_tier", C.tier_of(weaker))
-    return linked, hit.where("target is null").drop("target")
+ASKED = ("kind", "target_raw", "confidence_tier", "language", "path_key")
+PASSES = ("path", "tail", "exact", "folded", "table", "column", "column_folded", "function", "routine", "inherited", "chain", "subtype", "method")
+#: What an answer is called: the two looks at a bare table's columns are part of its pass, and a routine's case is folded too.
+CALLED = {"column": "table", "column_folded": "table", "routine": "folded"}
 
 
 def ancestry(g: Graph, depth: int = 32) -> DataFrame:
@@ -45,40 +47,245 @@ def ancestry(g: Graph, depth: int = 32) -> DataFrame:
     return seen
 
 
-def resolve(g: Graph) -> DataFrame:
-    """(KEY, target, via) of the unlinked edges that a pass links: by exact name, by folded case, as the only function of
-    that name in the language, as an inherited member, as the only method of that name (HEURISTIC)."""
-    language = g.files.select(F.col("path").alias("file_path"), "language")
-    nodes = g.nodes.join(language, "file_path").select("kind", "name", "qualified_name", "language")
-    open_edges = g.edges.where("target_qname is null").select(*KEY).distinct().join(language, "file_path")
-    open_edges = open_edges.withColumn("low", F.lower("target_raw")).withColumn("owner", C.container("target_raw")).withColumn("member", C.member("target_raw"))
-    names = nodes.select("qualified_name").distinct()
-    out = []
-    linked, rest = _pass(open_edges, names.select(F.col("qualified_name").alias("target_raw"), F.col("qualified_name").alias("target")), ["target_raw"], "exact")
-    out.append(linked)
-    linked, rest = _pass(rest, _unique(names.withColumn("low", F.lower("qualified_name")), ["low"]), ["low"], "folded")
-    out.append(linked)
-    functions = nodes.where("kind = 'Function'").select(F.col("name").alias("target_raw"), "language", "qualified_name")
-    linked, rest = _pass(rest, _unique(functions, ["target_raw", "language"]), ["target_raw", "language"], "function")
-    out.append(linked)
-    members = nodes.where("kind in ('Method', 'Column')").select(C.container().alias("ancestor"), C.member().alias("member"), "qualified_name").distinct()
-    inherited = ancestry(g).join(members, "ancestor").groupBy(F.col("name").alias("owner"), "member").agg(F.min(F.struct("level", "qualified_name")).alias("m")).select("owner", "member", F.col("m.qualified_name").alias("target"))
-    linked, rest = _pass(rest, inherited, ["owner", "member"], "inherited")
-    out.append(linked)
-    methods = nodes.where("kind = 'Method'").select(F.col("name").alias("target_raw"), "language", "qualified_name")
-    linked, rest = _pass(rest, _unique(methods, ["target_raw", "language"]), ["target_raw", "language"], "method", "HEURISTIC")
-    out.append(linked)
-    result = out[0].select(*KEY, "target", "via")
-    for more in out[1:]:
-        result = result.union(more.select(*KEY, "target", "via"))
-    return result
-
-
-def apply(g: Graph) -> Graph:
-    """The graph with what `resolve` links; linked edges keep their raw name."""
-    found = resolve(g).select(*[F.col(c) for c in KEY if c != "confidence_tier"], "target", F.col("confidence_tier").alias("tier"))
-    keys = [c for c in KEY if c != "confidence_tier"]
-    one = found.groupBy(*keys).agg(F.min("target").alias("target"), F.max("tier").alias("tier"))
-    edges = g.edges.join(one, keys, "left")
-    edges = edges.withColumn("confidence_tier", F.when(F.col("target_qname").isNull() & F.col("target").isNotNull(), F.col("tier")).otherwise(F.col("confidence_tier"))).withColumn("target_qname", F.coalesce("target_qname", "target"))
-    return Graph(g.files, g.nodes, edges.select(*g.edges.columns))
+def _closure(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(name, other, level, rank) of what each seed reaches over (a, b, rank): itself at level 0, then the nearest level of each."""
+    seen = seeds.toDF("name").distinct().select("name", F.col("name").alias("other"), F.lit(0).alias("level"), F.lit(0).alias("rank"))
+    frontier, level = seen, 0
+    while True:
+        level += 1
+        step = frontier.select("name", F.col("other").alias("a")).join(links, "a").groupBy("name", F.col("b").alias("other")).agg(F.min("rank").alias("rank"))
+        frontier = materialise(step.join(seen.select("name", "other"), ["name", "other"], "left_anti").select("name", "other", F.lit(level).alias("level"), "rank"), "closure")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)
+        if level % 8 == 0:
+            seen = materialise(seen, "closure-seen")
+
+
+def _parents(g: Graph) -> DataFrame:
+    """(a, b, rank): what each type inherits from by the name it gives, traits and interfaces after classes."""
+    rank = F.array_position(F.array(*map(F.lit, INHERIT_KINDS)), F.col("kind")).cast("int")
+    return g.edges.where(F.col("kind").isin(*INHERIT_KINDS)).groupBy(F.col("source_qname").alias("a"), F.coalesce("target_qname", "target_raw").alias("b")).agg(F.min(rank).alias("rank")).where("a <> b")
+
+
+def aliases(g: Graph) -> DataFrame:
+    """(alias, real): where each alias ends; of several targets of one alias the first in order counts."""
+    step = g.edges.where("kind = 'ALIASES'").groupBy(F.col("source_qname").alias("alias")).agg(F.min("target_raw").alias("to"))
+    step = materialise(step, "aliases")
+    at = step.select("alias", F.col("to").alias("real"), F.array("alias", "to").alias("seen"))
+    while True:
+        on = at.join(step.select(F.col("alias").alias("real"), F.col("to").alias("next")), "real").where("not array_contains(seen, next)")
+        moved = materialise(on.select("alias", F.col("next").alias("real"), F.array_append("seen", F.col("next")).alias("seen")), "aliases-on")
+        if moved.isEmpty():
+            return at.select("alias", "real")
+        at = materialise(at.join(moved.select("alias"), "alias", "left_anti").union(moved), "aliases-at")
+
+
+def _path_key() -> Column:
+    """The file a path edge names: an include is relative to its file's directory, an import to the root."""
+    parts = F.split(F.concat(C.parent_dir("file_path"), F.lit("/"), F.col("target_raw")), "/")
+    keep = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
+    joined = F.array_join(keep, "/")
+    included = F.when(F.col("target_raw").startswith("/"), F.col("target_raw")).when(joined == "", ".").otherwise(joined)
+    return F.when(F.col("kind") == "INCLUDES", included).when(F.col("kind").isin(*PATH_KINDS), F.col("target_raw")).otherwise("")
+
+
+def _open(g: Graph, dynamic: bool) -> DataFrame:
+    """KEY and ASKED of the edges that may be linked."""
+    language = g.files.select(F.col("path").alias("file_path"), F.coalesce("language", F.lit("")).alias("language"))
+    edges = g.edges.where(F.col("target_qname").isNull() & F.col("kind").isin(*FQN_KINDS, *PATH_KINDS)).select(*KEY).distinct()
+    if not dynamic:
+        edges = edges.where((F.coalesce("confidence_tier", F.lit("")) != "DYNAMIC") | F.col("kind").isin(*DYNAMIC_LINKED))
+    return edges.join(language, "file_path", "left").na.fill("", ["language"]).withColumn("path_key", _path_key())
+
+
+def _requests(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct requests with an id, and the name to look up: an alias' end, or that of its container."""
+    asked = edges.select(*ASKED).distinct().withColumn("c", C.container("target_raw"))
+    asked = asked.join(known.select(F.col("alias").alias("target_raw"), F.col("real").alias("whole")), "target_raw", "left").join(known.select(F.col("alias").alias("c"), F.col("real").alias("held")), "c", "left")
+    lookup = F.when(F.col("kind") == "ALIASES", F.col("target_raw")).otherwise(F.coalesce("whole", F.concat("held", F.lit("::"), C.member("target_raw")), "target_raw"))
+    out = asked.select(*ASKED, lookup.alias("lookup"), F.monotonically_increasing_id().alias("id"))
+    return materialise(out.withColumn("container", C.container("lookup")).withColumn("member", C.member("lookup")), "requests")
+
+
+def _in(column: str, folding: Sequence[str] | None) -> Column:
+    return F.lit(True) if folding is None else F.col(column).isin(*folding) if folding else F.lit(False)
+
+
+class Names:
+    """What can be asked for, as (space, key, target) of the keys in question. Outside the `exact` space a key is that of one name alone."""
+
+    def __init__(self, g: Graph, folding: Sequence[str] | None):
+        language = g.files.select(F.col("path").alias("file_path"), F.coalesce("language", F.lit("")).alias("language"))
+        nodes = g.nodes.select("kind", "name", "qualified_name", "file_path").join(language, "file_path", "left").na.fill("", ["language"])
+        low, kind = F.lower("name"), F.col("kind")
+        none = F.array().cast("array<struct<space:string,key:string>>")
+
+        def entry(space: str, key: Column) -> Column:
+            return F.struct(F.lit(space).alias("space"), key.alias("key"))
+
+        def by_kind(test: Column, *entries: Column) -> Column:
+            return F.when(test, F.array(*entries)).otherwise(none)
+
+        parts = F.split("qualified_name", "/")
+        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("tail").alias("space"), F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")).alias("key")))
+        entries = F.concat(
+            F.array(entry("exact", F.col("qualified_name")), entry("folded", F.lower("qualified_name"))),
+            F.when(kind == "File", F.concat(F.array(entry("path", F.col("qualified_name"))), tails)).otherwise(none),
+            by_kind(kind.isin("Table", "View"), entry("table", low)),
+            by_kind(kind == "Function", entry("function", F.concat_ws("|", "language", "name")), entry("function", F.concat(F.lit("|"), "name"))),
+            by_kind((kind == "Function") & _in("language", folding), entry("routine", F.concat_ws("|", F.col("language"), low)), entry("routine", F.lower("qualified_name"))),
+            by_kind(kind == "Method", entry("method", F.concat_ws("|", "language", "name")), entry("method", F.concat(F.lit("|"), "name"))),
+        )
+        self.named = nodes.select("kind", F.col("qualified_name").alias("target"), F.explode(entries).alias("e")).select("kind", "target", "e.*").where("key is not null")
+        # Columns of tables whose bare name is the only one of its kind.
+        tables = nodes.where("kind = 'Table'").groupBy(low.alias("bare")).agg(F.min("qualified_name").alias("table"), F.max("qualified_name").alias("last")).where("table = last").select("bare", "table")
+        columns = nodes.where("kind = 'Column'").select(C.container().alias("table"), C.member().alias("column"), F.col("qualified_name").alias("target")).distinct().join(tables, "table")
+        plain = columns.select(F.lit("column").alias("space"), F.concat_ws("::", "bare", "column").alias("key"), "target")
+        folded = columns.groupBy(F.concat_ws("::", F.col("bare"), F.lower("column")).alias("key")).agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last").select(F.lit("column_folded").alias("space"), "key", "target")
+        self.columns = plain.union(folded)
+
+    def of(self, probes: DataFrame) -> DataFrame:
+        """The probes with their targets; names that are not asked for leave before anything is grouped."""
+        asked = probes.select("space", "key").distinct()
+        kind = F.col("kind")
+        held = self.named.join(asked, ["space", "key"], "left_semi").groupBy("space", "key").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.count("*").alias("n"), F.max(kind.isin(*SCHEMA_OBJECTS)).alias("schema"))
+        held = held.where("target = last and (space <> 'path' or n = 1) and (space <> 'folded' or schema)").select("space", "key", "target")
+        return probes.join(held.union(self.columns), ["space", "key"])
+
+
+def _probe(rows: DataFrame, name: str, space: str, key: Column, where: Column | str, rank: Column | None = None, tier: Column | None = None) -> DataFrame:
+    order = F.lit(0) if rank is None else rank
+    return rows.where(where).select("id", F.lit(PASSES.index(name)).alias("pass"), order.cast("int").alias("rank"), F.lit(space).alias("space"), key.alias("key"), (F.lit("RESOLVED") if tier is None else tier).alias("floor"))
+
+
+def _plain_probes(asked: DataFrame, folding: Sequence[str] | None, guesses_only: bool) -> DataFrame:
+    """Keys of all requests but those that walk types."""
+    kind, tier, member = F.col("kind"), F.col("confidence_tier"), F.col("member")
+    guess = F.coalesce(tier, F.lit("RESOLVED")) == "HEURISTIC"
+    path, call = kind.isin(*PATH_KINDS), kind == "CALLS"
+    bare = call & F.col("container").isNull()
+    schema = kind.isin(*SCHEMA_KINDS) | ((kind == "READS") & F.col("container").isNotNull())
+    table = F.lower(F.substring_index(F.coalesce(C.container("target_raw"), F.col("target_raw")), ".", -1))
+    whole = F.instr("target_raw", "::") == 0
+    table = F.when(whole, F.lower("target_raw")).otherwise(table)
+    site = F.concat_ws("|", F.col("language"), member)
+    qualified = member.rlike(r"[.\\/]")
+    probes = [
+        _probe(asked, "path", "path", F.col("path_key"), path),
+        _probe(asked, "tail", "tail", F.col("target_raw"), path & guess & F.col("target_raw").rlike("^/."), tier=F.lit("HEURISTIC")),
+        _probe(asked, "exact", "exact", F.col("lookup"), ~path),
+        _probe(asked, "folded", "folded", F.lower("target_raw"), schema),
+        _probe(asked, "table", "table", table, schema & whole),
+        _probe(asked, "column", "column", F.concat_ws("::", table, C.member("target_raw")), schema & ~whole),
+        _probe(asked, "column_folded", "column_folded", F.concat_ws("::", table, F.lower(C.member("target_raw"))), schema & ~whole),
+        _probe(asked, "function", "function", site, bare & ~guess),
+        _probe(asked, "routine", "routine", F.concat_ws("|", F.col("language"), F.lower(member)), bare & ~qualified & ~guess & _in("language", folding)),
+        _probe(asked, "routine", "routine", F.lower(member), bare & qualified),
+        _probe(asked, "method", "method", site, bare & (guess | F.lit(not guesses_only)), tier=F.lit("HEURISTIC")),
+    ]
+    out = probes[0]
+    for more in probes[1:]:
+        out = out.union(more)
+    return out
+
+
+def _walked(chains: DataFrame, g: Graph, parents: DataFrame) -> DataFrame:
+    """(id, receiver, member, documented, broken) of requests on a chain of declared types, after at most CHAIN_STEPS steps."""
+    typed = [c for c in ("declared_type", "doc_type") if c in g.nodes.columns]
+    types = g.first_nodes().select(F.col("qualified_name").alias("key"), *[F.col(c) if c in typed else F.lit(None).cast("string").alias(c) for c in ("declared_type", "doc_type")])
+    types = materialise(types.where("nullif(declared_type, '') is not null or nullif(doc_type, '') is not null"), "types")
+    reference = F.split(F.expr(f"left(container, length(container) - {len(TYPE_OF)})"), r"\(\)::")
+    head = F.struct(C.container("head").alias("receiver"), C.member("head").alias("first"))
+    at = chains.select("id", "member", reference.alias("r")).select("id", "member", F.col("r")[0].alias("head"), F.expr("slice(r, 2, size(r))").alias("rest"))
+    at = at.select("id", "member", F.coalesce(head["receiver"], F.col("head")).alias("receiver"), F.concat(F.array(head["first"]), F.col("rest")).alias("steps"), F.lit(False).alias("documented"))
+    at = materialise(at, "chain")
+    for _ in range(CHAIN_STEPS):
+        going = at.where("receiver is not null and size(steps) > 0")
+        if going.isEmpty():
+            break
+        up = _closure(parents, going.select("receiver"))
+        asked = going.join(up.withColumnRenamed("name", "receiver"), "receiver").withColumn("key", F.concat_ws("::", "other", F.col("steps")[0])).join(types, "key")
+
+        def found(column: str, order: str, asked: DataFrame = asked) -> DataFrame:
+            said = F.when(F.col(column) == "self", F.col("other")).when(F.col(column) == "static", F.col("receiver")).otherwise(F.col(column))
+            return asked.where(f"nullif({column}, '') is not null").groupBy("id").agg(F.min(F.struct("level", "rank", "other", said.alias("said"))).alias(order))
+
+        step = going.join(found("declared_type", "sure"), "id", "left").join(found("doc_type", "told"), "id", "left")
+        step = step.select("id", "member", F.coalesce("sure.said", "told.said").alias("receiver"), F.expr("slice(steps, 2, size(steps))").alias("steps"), (F.col("documented") | (F.col("sure").isNull() & F.col("told").isNotNull())).alias("documented"))
+        at = materialise(at.where("receiver is null or size(steps) = 0").unionByName(step), "chain")
+    known = g.nodes.select(F.col("qualified_name").alias("receiver")).distinct().withColumn("held", F.lit(True))
+    out = at.join(known, "receiver", "left")
+    return materialise(out.select("id", "receiver", "member", "documented", (F.col("held").isNull() | (F.size("steps") > 0)).alias("broken")), "chains")
+
+
+def _answers(g: Graph, folding: Sequence[str] | None, dynamic: bool, guesses_only: bool) -> tuple[DataFrame, DataFrame]:
+    """(open edges, requests with (target, via, tier), one row for each target)."""
+    edges = materialise(_open(g, dynamic), "open")
+    asked = _requests(edges, aliases(g))
+    names, parents = Names(g, folding), materialise(_parents(g), "parents")
+    probes = _plain_probes(asked, folding, guesses_only)
+    calls = asked.where("kind = 'CALLS' and container is not null")
+    own = calls.where(~F.col("container").endswith(TYPE_OF)).select("id", F.col("container").alias("receiver"), "member")
+    held = own.select("*", F.lit("inherited").alias("how"), F.lit("RESOLVED").alias("floor"))
+    chains = calls.where(F.col("container").endswith(TYPE_OF))
+    if not chains.isEmpty():
+        walked = _walked(chains, g, parents)
+        floor = F.when(F.col("documented"), "HEURISTIC").otherwise("RESOLVED")
+        held = held.union(walked.where("not broken").select("id", "receiver", "member", F.lit("chain"), floor))
+        lost = asked.join(walked.where("broken").select("id"), "id", "left_semi")
+        probes = probes.union(_probe(lost, "method", "method", F.concat_ws("|", "language", "member"), F.lit(True), tier=F.lit("HEURISTIC")))
+    held = materialise(held, "receivers")
+    up = _closure(parents, held.select("receiver")).withColumnRenamed("name", "receiver")
+    above = held.join(up, "receiver").withColumn("key", F.concat_ws("::", "other", "member"))
+    number = F.when(F.col("how") == "chain", PASSES.index("chain")).otherwise(PASSES.index("inherited"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("level", "rank", "other"))
+    probes = probes.union(above.select("id", number.alias("pass"), order.alias("rank"), F.lit("exact").alias("space"), "key", "floor"))
+
+    def first(found: DataFrame) -> DataFrame:
+        return found.groupBy("id").agg(F.min(F.struct("pass", "rank", "floor", "target")).alias("m")).select("id", "m.pass", "m.floor", "m.target")
+
+    answers = materialise(first(names.of(materialise(probes, "probes"))), "answers")
+    left = held.join(answers, "id", "left_anti")
+    if not left.isEmpty():
+        down = _closure(parents.select(F.col("b").alias("a"), F.col("a").alias("b"), "rank"), left.select("receiver")).where("level > 0").withColumnRenamed("name", "receiver")
+        nearest = Window.partitionBy("receiver").orderBy("level", "other")
+        down = down.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= SUBTYPES)
+        below = left.join(down, "receiver").select("id", F.lit("exact").alias("space"), F.concat_ws("::", "other", "member").alias("key"))
+        guesses = names.of(materialise(below, "below")).select("id", F.lit(PASSES.index("subtype")).alias("pass"), F.lit("HEURISTIC").alias("floor"), "target").distinct()
+        answers = answers.union(guesses)
+    tier = C.tier_of(F.greatest(C.tier_rank("confidence_tier"), C.tier_rank("floor")))
+    via = F.element_at(F.array(*[F.lit(CALLED.get(p, p)) for p in PASSES]), F.col("pass") + 1)
+    return edges, asked.join(answers, "id").select(*ASKED, F.col("target"), via.alias("via"), tier.alias("tier"))
+
+
+def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Join on columns that may be null."""
+    right = b.select(*[F.col(c).alias(f"r_{c}") if c in columns else F.col(c) for c in b.columns])
+    on = None
+    for c in columns:
+        on = a[c].eqNullSafe(right[f"r_{c}"]) if on is None else on & a[c].eqNullSafe(right[f"r_{c}"])
+    return a.join(right, on).drop(*[f"r_{c}" for c in columns])
+
+
+def resolve(g: Graph, folding: Sequence[str] | None = None, dynamic: bool = False, guesses_only: bool = False) -> DataFrame:
+    """(KEY, target, via) of the unlinked edges that a pass links, with the tier the link has; several targets are several rows.
+
+    `folding` names the languages whose routines fold case (all, if not given). With `dynamic`, edges of that tier are linked
+    like others; with `guesses_only`, only calls that are guesses already may mean the only method of their name.
+    """
+    edges, answers = _answers(g, folding, dynamic, guesses_only)
+    found = _same(edges, answers, ASKED)
+    return found.select(*[F.col("tier").alias(c) if c == "confidence_tier" else F.col(c) for c in KEY], "target", "via")
+
+
+def apply(g: Graph, folding: Sequence[str] | None = None, guesses_only: bool = False) -> Graph:
+    """The graph with what `resolve` links; linked edges keep their raw name, further targets are further edges."""
+    edges, answers = _answers(g, folding, False, guesses_only)
+    found = _same(edges, answers, ASKED).select(*[F.col(c).alias(f"k_{c}") for c in KEY], "target", "tier")
+    on = g.edges["target_qname"].isNull()
+    for c in KEY:
+        on = on & g.edges[c].eqNullSafe(found[f"k_{c}"])
+    joined = g.edges.join(found, on, "left")
+    changed = {"target_qname": F.coalesce("target_qname", "target"), "confidence_tier": F.coalesce("tier", "confidence_tier")}
+    return Graph(g.files, g.nodes, joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in g.edges.columns]))

@@ -167,7 +167,62 @@ add("explain_path", None, _path_rows)
 # Resolution
 
 add("resolve_edges", r""", un AS (SELECT DISTINCT kind, source_qname, target_raw, file_path, line, confidence_tier, language FROM edges JOIN files ON file_path = path WHERE target_qname IS NULL), q AS (SELECT DISTINCT qualified_name n FROM nodes), fn AS (SELECT name, language, min(qualified_name) n FROM nodes JOIN files ON file_path = path WHERE kind = 'Function' GROUP BY 1, 2 HAVING count(DISTINCT qualified_name) = 1)
-    SELECT kind, source_qname, target_raw, file_path, line, confidence_tier, coalesce(q.n, fn.n) target, CASE WHEN q.n IS NOT NULL THEN 'exact' ELSE 'function' END via FROM un LEFT JOIN q ON target_raw = q.n LEFT JOIN fn ON target_raw = fn.name AND un.language = fn.language WHERE coalesce(q.n, fn.n) IS NOT NULL""", L.resolve)
+    SELECT kind, source_qname, target_raw, file_path, line, confidence_tier, coalesce(q.n, fn.n) target, CASE WHEN q.n IS NOT NULL THEN 'exact' ELSE 'function' END via FROM un LEFT JOIN q ON target_raw = q.n LEFT JOIN fn ON target_raw = fn.name AND un.language = fn.language WHERE coalesce(q.n, fn.n) IS NOT NULL""", lambda g: L.resolve(g, dynamic=True))
+
+
+def _asking(g: Graph) -> Graph:
+    """The projection's names with nothing but open edges, asked in a way for each pass; methods tell their type by word or by comment."""
+    method = g.nodes.where("kind = 'Method'").select(F.col("qualified_name").alias("m"), F.col("file_path").alias("p"), F.expr("try_cast(substring_index(substr(qualified_name, 6), '::o', 1) as bigint)").alias("k"), F.expr("substring_index(qualified_name, '::', -1)").alias("o"))
+    customer = g.nodes.where("kind = 'Class' and startswith(qualified_name, 'cust.')").select(F.col("qualified_name").alias("m"), F.col("file_path").alias("p"), F.expr("cast(substr(qualified_name, 6) as bigint)").alias("k"))
+    part = g.edges.where("kind = 'CALLS' and startswith(target_raw, 'price_')").select(F.col("source_qname").alias("m"), F.col("file_path").alias("p"), "target_raw")
+    maker = g.nodes.where("kind = 'Class' and startswith(qualified_name, 'supp.')").select(F.col("qualified_name").alias("m"), F.col("file_path").alias("p"))
+    found = g.nodes.where("kind = 'Class' and startswith(qualified_name, 'part.')").select(F.expr("concat('supp', substr(qualified_name, 5))").alias("m"), F.col("file_path").alias("part_path"))
+
+    def ask(rows: DataFrame, kind: str, raw: str, line: int, tier: str = "RESOLVED") -> DataFrame:
+        return rows.selectExpr(f"'{kind}' as kind", "m as source_qname", "cast(null as string) as target_qname", f"{raw} as target_raw", "p as file_path", f"{line} as line", f"'{tier}' as confidence_tier", "cast(null as array<string>) as args")
+
+    edges = ask(customer, "EXTENDS", "concat('cust.', k div 2)", 0).union(ask(customer.withColumn("m", F.concat(F.lit("nick."), "k")), "ALIASES", "concat('cust.', k)", 0, "DYNAMIC"))
+    asked = (
+        (method, "CALLS", "concat('nick.', k, '::', o)", "RESOLVED"),
+        (method, "CALLS", "concat('cust.', 2 * k, '::', o)", "RESOLVED"),
+        (method, "CALLS", "concat('cust.', k div 2, '::', o)", "RESOLVED"),
+        (method, "CALLS", "concat(m, '()::', o)", "RESOLVED"),
+        (method, "CALLS", "concat(m, '()::', o, '()::', o)", "RESOLVED"),
+        (method, "CALLS", "o", "HEURISTIC"),
+        (method, "CALLS", "concat('nowhere::x()::', o)", "RESOLVED"),
+        (customer, "WRITES", "'EVT.VIEW::VALUE'", "RESOLVED"),
+        (customer, "WRITES", "'View'", "RESOLVED"),
+        (customer, "WRITES", "'x.CLICK::Props'", "RESOLVED"),
+        (part, "CALLS", "target_raw", "RESOLVED"),
+        (part, "CALLS", "upper(target_raw)", "RESOLVED"),
+        (maker.join(found, "m"), "INCLUDES", "concat('../../../', part_path)", "RESOLVED"),
+        (maker, "INCLUDES", "concat('/', substring_index(p, '/', -1))", "HEURISTIC"),
+        (method, "CALLS", "m", "DYNAMIC"),
+    )
+    for line, (rows, kind, raw, tier) in enumerate(asked, 1):
+        edges = edges.union(ask(rows, kind, raw, line, tier))
+    told = F.expr("kind = 'Method' and try_cast(substr(name, 2) as bigint) % 2 = 0")
+    nodes = g.nodes.withColumn("declared_type", F.when((F.col("kind") == "Method") & ~told, "static")).withColumn("doc_type", F.when(told, F.substring_index("qualified_name", "::", 1)))
+    return Graph(g.files, nodes, edges)
+
+
+add("resolve_passes", """, od AS (SELECT o_custkey k, 'o' || o_orderkey o, path p, m, o_orderkey % 2 = 0 told FROM ords),
+    a AS (SELECT 'CALLS' AS kind, m AS source_qname, 'nick.' || k || '::' || o AS target_raw, p AS file_path, 1 AS line, 'RESOLVED' AS confidence_tier, m AS target, 'exact' AS via FROM od
+    UNION ALL SELECT 'CALLS', m, 'cust.' || (2 * k) || '::' || o, p, 2, 'RESOLVED', m, CASE k WHEN 0 THEN 'exact' ELSE 'inherited' END FROM od WHERE 2 * k IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'CALLS', m, 'cust.' || (k // 2) || '::' || o, p, 3, CASE k WHEN 0 THEN 'RESOLVED' ELSE 'HEURISTIC' END, m, CASE k WHEN 0 THEN 'exact' ELSE 'subtype' END FROM od
+    UNION ALL SELECT 'CALLS', m, m || '()::' || o, p, 4, CASE WHEN told THEN 'HEURISTIC' ELSE 'RESOLVED' END, m, 'chain' FROM od
+    UNION ALL SELECT 'CALLS', m, m || '()::' || o || '()::' || o, p, 5, CASE WHEN told THEN 'HEURISTIC' ELSE 'RESOLVED' END, m, 'chain' FROM od
+    UNION ALL SELECT 'CALLS', m, o, p, 6, 'HEURISTIC', m, 'method' FROM od
+    UNION ALL SELECT 'CALLS', m, 'nowhere::x()::' || o, p, 7, 'HEURISTIC', m, 'method' FROM od
+    UNION ALL SELECT 'WRITES', 'cust.' || k, 'EVT.VIEW::VALUE', path, 8, 'RESOLVED', 'evt.view::value', 'folded' FROM cust
+    UNION ALL SELECT 'WRITES', 'cust.' || k, 'View', path, 9, 'RESOLVED', 'evt.view', 'table' FROM cust
+    UNION ALL SELECT 'WRITES', 'cust.' || k, 'x.CLICK::Props', path, 10, 'RESOLVED', 'evt.click::props', 'table' FROM cust
+    UNION ALL SELECT 'CALLS', 'part.' || k, 'price_' || type, path, 11, 'RESOLVED', 'fn.price_' || type, 'function' FROM prt
+    UNION ALL SELECT 'CALLS', 'part.' || k, upper('price_' || type), path, 12, 'RESOLVED', 'fn.price_' || type, 'folded' FROM prt
+    UNION ALL SELECT 'EXTENDS', 'cust.' || k, 'cust.' || (k // 2), path, 0, 'RESOLVED', 'cust.' || (k // 2), 'exact' FROM cust WHERE k // 2 IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'INCLUDES', 'supp.' || s.k, '../../../' || t.path, s.path, 13, 'RESOLVED', t.path, 'path' FROM supp s JOIN prt t ON s.k = t.k
+    UNION ALL SELECT 'INCLUDES', 'supp.' || k, '/s' || k || '.sup', path, 14, 'HEURISTIC', path, 'tail' FROM supp)
+    SELECT * FROM a""", lambda g: L.resolve(_asking(g), folding=["prt"], guesses_only=True))
 add("ancestry", ", an AS (SELECT source_qname AS name, target_qname AS ancestor, 1 AS level FROM edges WHERE kind = 'EXTENDS' UNION ALL SELECT an.name, target_qname, level + 1 FROM an JOIN edges ON kind = 'EXTENDS' AND source_qname = ancestor) SELECT name, ancestor, min(level) AS level FROM an GROUP BY 1, 2", L.ancestry)
 
 # Analytics
