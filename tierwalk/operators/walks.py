@@ -1,11 +1,13 @@
 """Bounded walks over the graph. Only RESOLVED edges expand; weaker neighbours are reported, never expanded.
 
 Each hop is one join of the frontier with the edges, written to the shared folder, so a plan never grows with the depth.
-Edges are cut to the walked kinds and columns once.
+Edges are cut to the walked kinds and columns once and lie in buckets by the end a hop looks up: a small frontier reads the
+buckets of its names only, and a large one is moved to the edges, which stay where they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ from pyspark.sql.window import Window
 
 from tierwalk.functions import columns as C
 from tierwalk.functions.vocabulary import CALLER_KINDS, DECAY, FLOOR, IMPACT_KINDS, IMPACT_WEIGHTS, TEST_KINDS
-from tierwalk.session import materialise
+from tierwalk.session import materialise, shared_folder
 from tierwalk.sources.graph import Graph
 
 
@@ -27,12 +29,44 @@ class Walk:
     truncated: bool
     depth_exhausted: bool
     skipped: int = 0
+    seeds_dropped: int = 0
 
 
 def _edges(g: Graph, kinds: Sequence[str]) -> DataFrame:
     return g.linked().where(F.col("kind").isin(*kinds)).select("source_qname", "target_qname", "kind", F.coalesce("confidence_tier", F.lit("RESOLVED")).alias("tier"), "file_path", "line")
 
 
+#: Names of a frontier that go into the filter of a scan; more are joined.
+FEW = 200
+#: Edges of a bucket, about.
+BUCKET_ROWS = 1_000_000
+
+
+class Steps:
+    """Edges in buckets by one of their ends."""
+
+    def __init__(self, edges: DataFrame, key: str):
+        spark = edges.sparkSession
+        edges = materialise(edges, "edges")
+        n = int(max(spark.sparkContext.defaultParallelism, edges.count() // BUCKET_ROWS))
+        name = f"tierwalk_steps_{uuid.uuid4().hex}"
+        edges.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+        self.edges, self.key = spark.table(name), key
+
+    def of(self, frontier: DataFrame, column: str, few: list | None) -> DataFrame:
+        """Edges of the frontier's names (its `column`), with the frontier's other columns; `few` are its rows if they are few."""
+        if few is not None:
+            near = self.edges.where(F.col(self.key).isin([r[column] for r in few]))
+            return near.join(F.broadcast(frontier.withColumnRenamed(column, self.key)), self.key)
+        return self.edges.join(frontier.withColumnRenamed(column, self.key), self.key)
+
+
+def _few(frontier: DataFrame) -> list | None:
+    """The rows of a small frontier, else nothing; one job says whether it is empty, small or large."""
+    rows = frontier.limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW else None
+
+
 def impact(g: Graph, seeds: DataFrame, depth: int = 2, max_nodes: int = 500, kinds: Sequence[str] = IMPACT_KINDS, without_tests: bool = False) -> Walk:
     """Blast radius: best score of each name that leads to a seed; score falls by kind and hop.
 
@@ -40,16 +74,22 @@ def impact(g: Graph, seeds: DataFrame, depth: int = 2, max_nodes: int = 500, kin
     if its best RESOLVED score is the one it keeps. Each wave is cut to `max_nodes` by seed, score and name.
     """
     weight = F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(IMPACT_WEIGHTS[k]))])
-    edges = materialise(_edges(g, kinds), "impact-edges")
+    edges = _edges(g, kinds)
     if without_tests:
         tests = g.nodes.where("is_test").select(F.col("qualified_name").alias("source_qname")).distinct()
-        edges = materialise(edges.join(tests, "source_qname", "left_anti"), "impact-edges")
-    best = seeds.toDF("qname").distinct().select("qname", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.lit("RESOLVED").alias("tier"), F.lit(True).alias("is_seed"))
-    best = materialise(best.orderBy("qname").limit(max_nodes), "impact")
+        edges = edges.join(tests, "source_qname", "left_anti")
+    steps = Steps(edges.select("source_qname", "target_qname", "kind", "tier").distinct(), "target_qname")
+    start = materialise(seeds.toDF("qname").distinct(), "impact-seeds")
+    dropped = max(0, start.count() - max_nodes)
+    best = start.select("qname", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.lit("RESOLVED").alias("tier"), F.lit(True).alias("is_seed"))
+    if dropped:
+        best = best.orderBy("qname").limit(max_nodes)
+    best = materialise(best, "impact")
     frontier, skipped, cut, hop = best.select("qname", "score", "depth"), 0, False, 0
-    while hop < depth and not frontier.isEmpty():
+    few = _few(frontier)
+    while hop < depth and few != []:
         hop += 1
-        step = edges.join(frontier.withColumnRenamed("qname", "target_qname"), "target_qname").select(F.col("source_qname").alias("qname"), (F.col("score") * weight[F.col("kind")] * DECAY).alias("score"), (F.col("depth") + 1).alias("depth"), "tier").where(F.col("score") >= FLOOR - 1e-12)
+        step = steps.of(frontier, "qname", few).select(F.col("source_qname").alias("qname"), (F.col("score") * weight[F.col("kind")] * DECAY).alias("score"), (F.col("depth") + 1).alias("depth"), "tier").where(F.col("score") >= FLOOR - 1e-12)
         step = materialise(step.groupBy("qname", "score", "tier").agg(F.min("depth").alias("depth")), "impact-step")
         skipped += step.where("tier <> 'RESOLVED'").select("qname").distinct().count()
         rows = step.groupBy("qname").agg(F.max(F.struct("score", (-F.col("depth")).alias("d"))).alias("top"), F.max(F.struct("score", "tier")).alias("t"), F.max(F.when(F.col("tier") == "RESOLVED", F.col("score"))).alias("proven"))
@@ -58,25 +98,28 @@ def impact(g: Graph, seeds: DataFrame, depth: int = 2, max_nodes: int = 500, kin
         merged = best.join(rows, "qname", "full_outer").select("qname", F.when(better, F.col("score2")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("depth2")).otherwise(F.col("depth")).alias("depth"), F.when(better, F.col("tier2")).otherwise(F.col("tier")).alias("tier"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "proven")
         kept = materialise(merged.orderBy(F.desc("is_seed"), F.desc("score"), "qname").limit(max_nodes + 1), "impact")
         cut = cut or kept.count() > max_nodes
-        kept = materialise(kept.orderBy(F.desc("is_seed"), F.desc("score"), "qname").limit(max_nodes), "impact")
+        kept = kept.orderBy(F.desc("is_seed"), F.desc("score"), "qname").limit(max_nodes)
         best = kept.drop("proven")
         frontier = kept.where("proven is not null and abs(proven - score) < 1e-12").select("qname", "score", "depth")
-    return Walk(best, cut, hop == depth and not frontier.isEmpty(), skipped)
+        few = _few(frontier)
+    return Walk(best, cut or dropped > 0, hop == depth and few != [], skipped, dropped)
 
 
 def reach(g: Graph, seeds: DataFrame, depth: int | None = None, max_nodes: int | None = None, kinds: Sequence[str] = IMPACT_KINDS, with_containers: bool = True) -> Walk:
     """Forward closure: (qname, depth, state); `unproven` names were met only over weaker edges."""
-    edges = materialise(_edges(g, kinds).select("source_qname", "target_qname", "tier").distinct(), "reach-edges")
+    steps = Steps(_edges(g, kinds).select("source_qname", "target_qname", "tier").distinct(), "source_qname")
     seen = materialise(seeds.toDF("qname").distinct().select("qname", F.lit(0).alias("depth")), "reach")
     frontier, weak, hop, cut = seen, None, 0, False
-    while (depth is None or hop < depth) and not frontier.isEmpty():
+    few = _few(frontier)
+    while (depth is None or hop < depth) and few != []:
         hop += 1
-        step = edges.join(frontier.select(F.col("qname").alias("source_qname")), "source_qname").select(F.col("target_qname").alias("qname"), "tier").distinct()
+        step = steps.of(frontier.select("qname"), "qname", few).select(F.col("target_qname").alias("qname"), "tier").distinct()
         # One write a hop; what was seen is the union of the hops' tables, written as one now and then.
         new = materialise(step.join(seen, "qname", "left_anti"), "reach-new")
         more = new.where("tier <> 'RESOLVED'").select("qname")
         weak = more if weak is None else weak.union(more)
         frontier = new.where("tier = 'RESOLVED'").select("qname", F.lit(hop).alias("depth"))
+        few = _few(frontier)
         seen = seen.union(frontier)
         if hop % 8 == 0:
             seen, weak = materialise(seen, "reach"), materialise(weak.distinct(), "reach-weak")
@@ -84,7 +127,8 @@ def reach(g: Graph, seeds: DataFrame, depth: int | None = None, max_nodes: int |
             cut = True
             seen = materialise(seen.orderBy("depth", "qname").limit(max_nodes), "reach")
             frontier = materialise(frontier.join(seen, "qname", "left_semi"), "reach-new")
-    ended = depth is not None and not frontier.isEmpty()
+            few = _few(frontier)
+    ended = depth is not None and few != []
     if with_containers:
         up = seen.select(F.explode(C.containers("qname")).alias("qname"), "depth")
         seen = materialise(seen.union(up).groupBy("qname").agg(F.min("depth").alias("depth")), "reach")
