@@ -19,7 +19,8 @@ from tierwalk.sources.graph import Graph
 def degrees(pairs: DataFrame, universe: DataFrame) -> DataFrame:
     """(name, fan_in, fan_out, direction) of distinct pairs (a, b) without loops, over all names."""
     clean = pairs.toDF("a", "b").where("a <> b").distinct()
-    both = clean.select(F.col("b").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(clean.select("a", F.lit(0), F.lit(1)))
+    ends = F.array(F.struct(F.col("b").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("a").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    both = clean.select(F.explode(ends).alias("e")).select("e.*")
     both = both.union(universe.toDF("name").distinct().select("name", F.lit(0), F.lit(0)))
     out = both.groupBy("name").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
     return out.withColumn("direction", C.direction("fan_in", "fan_out"))
@@ -77,17 +78,27 @@ def cross_layer(g: Graph) -> DataFrame:
 def mirrors(g: Graph, shared: int = MIRROR_SHARED, overlap: float = MIRROR_OVERLAP) -> DataFrame:
     """Sibling directories whose relative paths largely agree.
 
-    Files are first exploded to (parent, child, relative path); siblings meet on (parent, relative path), and counts of
-    either side come from one aggregate.
+    Files are first exploded to (parent, child, relative path). A child of n files can only pass with max(shared, overlap x n)
+    of them in common, so if its files are ordered with the rarest among its siblings first, one of the first n minus that
+    plus one is common: siblings meet on those alone, and a path that all siblings have brings no pairs. Pairs are then counted
+    on their full sets.
     """
     parts = F.split("path", "/")
     split = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("parent"), F.element_at(parts, i).alias("child"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("relative")))
-    at = materialise(g.files.where("instr(path, '/') > 0").select(F.explode(split).alias("x")).select("x.*"), "siblings")
-    sizes = at.groupBy("parent", "child").agg(F.count("*").alias("n"))
-    left, right = at.withColumnRenamed("child", "a"), at.withColumnRenamed("child", "b")
-    pairs = left.join(right, ["parent", "relative"]).where("a < b").groupBy("parent", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    out = pairs.join(sizes.toDF("parent", "a", "na"), ["parent", "a"]).join(sizes.toDF("parent", "b", "nb"), ["parent", "b"])
-    out = out.withColumn("overlap", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 3)).where(F.col("overlap") >= overlap)
+    at = g.files.where("instr(path, '/') > 0").select(F.explode(split).alias("x")).select("x.*")
+    wide = at.groupBy("parent", "child").agg(F.count("*").alias("n")).where(F.col("n") >= shared)
+    at = materialise(at.join(wide, ["parent", "child"]), "siblings")
+    often = at.groupBy("parent", "relative").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("parent", "child").orderBy("often", "relative")
+    least = F.greatest(F.lit(shared), F.ceil(F.col("n") * (overlap - 0.0005) - 1e-9))
+    # Paths that no sibling has come first in the order, and lead nowhere: they only count.
+    alone = at.join(often, ["parent", "relative"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = materialise(alone.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("often") > 1)).select("parent", "relative", "child", "n"), "rare")
+    left, right = first.withColumnRenamed("child", "a").withColumnRenamed("n", "na"), first.withColumnRenamed("child", "b").withColumnRenamed("n", "nb")
+    near = materialise(left.join(right, ["parent", "relative"]).where("a < b").select("parent", "a", "b", "na", "nb").distinct(), "pairs")
+    both = near.join(at.select("parent", F.col("child").alias("a"), "relative"), ["parent", "a"]).join(at.select("parent", F.col("child").alias("b"), "relative"), ["parent", "b", "relative"])
+    pairs = both.groupBy("parent", "a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    out = pairs.withColumn("overlap", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 3)).where(F.col("overlap") >= overlap)
     under = F.when(F.col("parent") == "", "").otherwise(F.concat("parent", F.lit("/")))
     return out.select(F.concat(under, "a").alias("left_dir"), F.concat(under, "b").alias("right_dir"), "shared", "overlap")
 

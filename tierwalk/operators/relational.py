@@ -209,9 +209,9 @@ def file_symbol_counts(g: Graph) -> DataFrame:
 def hubs(g: Graph, limit: int = 20) -> DataFrame:
     """Files by distinct files that depend on them."""
     pairs = module_edges(g)
-    fan_in = pairs.groupBy(F.col("target_file").alias("file")).agg(F.count("*").alias("fan_in"))
-    fan_out = pairs.groupBy(F.col("file_path").alias("file")).agg(F.count("*").alias("fan_out"))
-    return fan_in.join(fan_out, "file", "left").na.fill(0).orderBy(F.desc("fan_in"), "file").limit(limit)
+    ends = F.array(F.struct(F.col("target_file").alias("file"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("file_path").alias("file"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    both = pairs.select(F.explode(ends).alias("e")).select("e.*")
+    return both.groupBy("file").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out")).where("fan_in > 0").orderBy(F.desc("fan_in"), "file").limit(limit)
 
 
 def largest_classes(g: Graph, limit: int = 20) -> DataFrame:

@@ -63,7 +63,8 @@ def column_defaults(g: Graph, table: str) -> DataFrame:
     columns = g.nodes.where((F.col("kind") == "Column") & F.col("qualified_name").startswith(table + "::")).select("qualified_name").distinct()
     writes = g.linked().where("kind = 'WRITES'").where((F.col("target_qname") == table) | F.col("target_qname").startswith(table + "::")).select("source_qname", "target_qname").distinct()
     per = writes.groupBy("source_qname").agg(F.max(F.col("target_qname") == table).alias("whole"))
-    grid = columns.join(F.broadcast(writes.withColumnRenamed("target_qname", "qualified_name")), "qualified_name", "left").groupBy("qualified_name").agg(F.count("source_qname").alias("named"))
+    counted = writes.groupBy(F.col("target_qname").alias("qualified_name")).agg(F.count("*").alias("named"))
+    grid = columns.join(counted, "qualified_name", "left").na.fill(0)
     named_only = writes.where(F.col("target_qname") != table).join(per.where("not whole"), "source_qname").groupBy(F.col("target_qname").alias("qualified_name")).agg(F.count("*").alias("named_measured"))
     totals = per.agg(F.count("*").alias("writers"), F.count_if("whole").alias("unmeasured"))
     out = grid.join(named_only, "qualified_name", "left").na.fill(0).join(F.broadcast(totals))

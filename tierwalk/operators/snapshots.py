@@ -11,8 +11,13 @@ from tierwalk.sources.graph import Graph
 
 
 def symbol_snapshot(g: Graph) -> DataFrame:
-    """(qualified_name, file_path, name, kind, signature, body): body hashes the outgoing edges of the symbol."""
-    body = g.edges.groupBy(F.col("source_qname").alias("qualified_name"), "file_path").agg(F.md5(F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", "kind", "target_raw"))), ",").cast("binary")).alias("body"))
+    """(qualified_name, file_path, name, kind, signature, body): body stands for the distinct outgoing (kind, raw name) of the symbol.
+
+    Their number and two sums of their hashes, whatever the order: a symbol with very many edges is counted in parts.
+    """
+    said = g.edges.select(F.col("source_qname").alias("qualified_name"), "file_path", "kind", "target_raw").distinct()
+    said = said.groupBy("qualified_name", "file_path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind", "target_raw")).alias("x"), F.sum(F.xxhash64("target_raw", "kind") % 1_000_000_007).alias("s"))
+    body = said.select("qualified_name", "file_path", F.concat_ws(":", "n", "x", "s").alias("body"))
     return g.nodes.where("kind <> 'File'").select("qualified_name", "file_path", "name", "kind", F.md5(F.concat_ws("|", "kind", "name", F.col("line_start").cast("string")).cast("binary")).alias("signature")).distinct().join(body, ["qualified_name", "file_path"], "left")
 
 
