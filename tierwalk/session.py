@@ -28,12 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = set_before.get() if set_before.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tierwalk-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
