@@ -192,6 +192,57 @@ def test_incremental_equals_full(spark, tmp_path):
     assert store.pointer() == version
 
 
+def as_rows(state):
+    """JSON lines of {path: (hash, [names], [(kind, raw)])}; no state is a removal."""
+    out = []
+    for path, held in state.items():
+        if held is None:
+            out.append({"path": path, "removed": True})
+            continue
+        h, names, asked = held
+        nodes = [{"kind": k, "name": q.split("::")[-1].split(".")[-1], "qualified_name": q, "line_start": 1} for k, q in names]
+        out.append({"path": path, "language": "x", "hash": h, "nodes": nodes, "edges": [{"kind": k, "source_qname": s, "target_raw": r, "line": i, "confidence_tier": t} for i, (k, s, r, t) in enumerate(asked)]})
+    return "\n".join(map(json.dumps, out))
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_any_edits_equal_a_full_build(spark, tmp_path, seed):
+    import random
+
+    from tierwalk.sources.graph import raw_schema
+
+    rng, store, state = random.Random(seed), Store(spark, str(tmp_path / "store"), buckets=4), {}
+    names = [("Function", "m.one"), ("Function", "n.one"), ("Class", "Base"), ("Class", "Kid"), ("Method", "Base::go"), ("Method", "Kid::run"), ("Table", "db.Trans"), ("Column", "db.Trans::id"), ("Method", "Kid::go")]
+    asks = [("CALLS", "s", "m.one", "RESOLVED"), ("CALLS", "s", "one", "RESOLVED"), ("CALLS", "s", "Kid::go", "RESOLVED"), ("CALLS", "s", "Base::run", "RESOLVED"), ("EXTENDS", "Kid", "Base", "RESOLVED"), ("CALLS", "s", "go", "HEURISTIC"), ("CALLS", "s", "Aka::go", "RESOLVED"), ("ALIASES", "Aka", "Base", "DYNAMIC"), ("WRITES", "s", "DB.trans::ID", "RESOLVED"), ("WRITES", "s", "x.trans::id", "RESOLVED"), ("INCLUDES", "s", "b.x", "RESOLVED")]
+    for batch in range(4):
+        edits = {}
+        for path in rng.sample([f"{c}.x" for c in "abcdef"], 3):
+            if path in state and rng.random() < 0.3:
+                edits[path] = None
+                del state[path]
+            else:
+                state[path] = edits[path] = (f"h{batch}", [("File", path), *rng.sample(names, rng.randint(0, 4))], rng.sample(asks, rng.randint(0, 5)))
+        (tmp_path / f"{batch}.json").write_text(as_rows(edits))
+        assert store.apply(spark.read.schema(raw_schema() + ", removed boolean").json(str(tmp_path / f"{batch}.json")), batch) == len(edits)
+        (tmp_path / f"full{batch}.json").write_text(as_rows(state))
+        full = resolve.apply(from_jsonl(spark, str(tmp_path / f"full{batch}.json")))
+        got, want = store.graph(), full
+        assert content(got) == content(want), batch
+        assert sorted((r.target_raw, r.confidence_tier, r.target_qname or "") for r in got.edges.collect()) == sorted((r.target_raw, r.confidence_tier, r.target_qname or "") for r in want.edges.collect())
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("v")]) <= 8
+
+
+def test_a_removed_definition_unlinks_what_named_it(spark, tmp_path):
+    from tierwalk.sources.graph import raw_schema
+
+    store = Store(spark, str(tmp_path / "store"), buckets=8)
+    first = {"a.x": ("1", [("Function", "m.f")], []), "b.x": ("1", [], [("CALLS", "b", "m.f", "RESOLVED")]), "c.x": ("1", [], [("CALLS", "c", "other", "RESOLVED")])}
+    for batch, (state, want) in enumerate([(first, "m.f"), ({"a.x": ("2", [], [])}, None), ({"d.x": ("1", [("Function", "m.f")], [])}, "m.f"), ({"d.x": None}, None)]):
+        (tmp_path / f"{batch}.json").write_text(as_rows(state))
+        store.apply(spark.read.schema(raw_schema() + ", removed boolean").json(str(tmp_path / f"{batch}.json")), batch)
+        assert {(r.target_raw, r.target_qname) for r in store.graph().edges.collect()} == {("m.f", want), ("other", None)}
+
+
 def test_snapshot_versions_are_checked(spark, chain, tmp_path):
     save(chain, str(tmp_path / "s"))
     assert content(load(spark, str(tmp_path / "s"))) == content(chain)

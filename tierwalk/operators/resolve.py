@@ -81,6 +81,16 @@ def aliases(g: Graph) -> DataFrame:
         at = materialise(at.join(moved.select("alias"), "alias", "left_anti").union(moved), "aliases-at")
 
 
+def preimages(step: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key): all that leads to a key over the (alias, key) of `step`."""
+    found, at = keys.limit(0), keys
+    while True:
+        at = materialise(step.join(at, "key", "left_semi").select(F.col("alias").alias("key")).distinct().join(found, "key", "left_anti").join(keys, "key", "left_anti"), "preimages")
+        if at.isEmpty():
+            return found
+        found = found.union(at)
+
+
 def _path_key() -> Column:
     """The file a path edge names: an include is relative to its file's directory, an import to the root."""
     parts = F.split(F.concat(C.parent_dir("file_path"), F.lit("/"), F.col("target_raw")), "/")
@@ -90,10 +100,11 @@ def _path_key() -> Column:
     return F.when(F.col("kind") == "INCLUDES", included).when(F.col("kind").isin(*PATH_KINDS), F.col("target_raw")).otherwise("")
 
 
-def _open(g: Graph, dynamic: bool) -> DataFrame:
-    """KEY and ASKED of the edges that may be linked."""
+def _open(g: Graph, dynamic: bool, within: DataFrame | None) -> DataFrame:
+    """KEY and ASKED of the edges that may be linked, in the files of `within` if given."""
     language = g.files.select(F.col("path").alias("file_path"), F.coalesce("language", F.lit("")).alias("language"))
-    edges = g.edges.where(F.col("target_qname").isNull() & F.col("kind").isin(*FQN_KINDS, *PATH_KINDS)).select(*KEY).distinct()
+    edges = g.edges.where(F.col("target_qname").isNull() & F.col("kind").isin(*FQN_KINDS, *PATH_KINDS)).select(*KEY)
+    edges = (edges if within is None else edges.join(within, "file_path", "left_semi").select(*KEY)).distinct()
     if not dynamic:
         edges = edges.where((F.coalesce("confidence_tier", F.lit("")) != "DYNAMIC") | F.col("kind").isin(*DYNAMIC_LINKED))
     return edges.join(language, "file_path", "left").na.fill("", ["language"]).withColumn("path_key", _path_key())
@@ -219,9 +230,9 @@ def _walked(chains: DataFrame, g: Graph, parents: DataFrame) -> DataFrame:
     return materialise(out.select("id", "receiver", "member", "documented", (F.col("held").isNull() | (F.size("steps") > 0)).alias("broken")), "chains")
 
 
-def _answers(g: Graph, folding: Sequence[str] | None, dynamic: bool, guesses_only: bool) -> tuple[DataFrame, DataFrame]:
+def _answers(g: Graph, folding: Sequence[str] | None, dynamic: bool, guesses_only: bool, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(open edges, requests with (target, via, tier), one row for each target)."""
-    edges = materialise(_open(g, dynamic), "open")
+    edges = materialise(_open(g, dynamic, within), "open")
     asked = _requests(edges, aliases(g))
     names, parents = Names(g, folding), materialise(_parents(g), "parents")
     probes = _plain_probes(asked, folding, guesses_only)
@@ -256,7 +267,8 @@ def _answers(g: Graph, folding: Sequence[str] | None, dynamic: bool, guesses_onl
         answers = answers.union(guesses)
     tier = C.tier_of(F.greatest(C.tier_rank("confidence_tier"), C.tier_rank("floor")))
     via = F.element_at(F.array(*[F.lit(CALLED.get(p, p)) for p in PASSES]), F.col("pass") + 1)
-    return edges, asked.join(answers, "id").select(*ASKED, F.col("target"), via.alias("via"), tier.alias("tier"))
+    extra = F.col("target") > F.min("target").over(Window.partitionBy("id"))
+    return edges, asked.join(answers, "id").select(*ASKED, F.col("target"), via.alias("via"), tier.alias("tier"), extra.alias("further"))
 
 
 def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -279,13 +291,20 @@ def resolve(g: Graph, folding: Sequence[str] | None = None, dynamic: bool = Fals
     return found.select(*[F.col("tier").alias(c) if c == "confidence_tier" else F.col(c) for c in KEY], "target", "via")
 
 
-def apply(g: Graph, folding: Sequence[str] | None = None, guesses_only: bool = False) -> Graph:
-    """The graph with what `resolve` links; linked edges keep their raw name, further targets are further edges."""
-    edges, answers = _answers(g, folding, False, guesses_only)
-    found = _same(edges, answers, ASKED).select(*[F.col(c).alias(f"k_{c}") for c in KEY], "target", "tier")
-    on = g.edges["target_qname"].isNull()
+def linked(g: Graph, folding: Sequence[str] | None = None, guesses_only: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """The edges (of the files in `within`, if given) with what `resolve` links, and `extra`: rows for further targets of an edge."""
+    edges, answers = _answers(g, folding, False, guesses_only, within)
+    found = _same(edges, answers, ASKED).select(*[F.col(c).alias(f"k_{c}") for c in KEY], "target", "tier", "further")
+    mine = g.edges if within is None else g.edges.join(within, "file_path", "left_semi").select(*g.edges.columns)
+    on = mine["target_qname"].isNull()
     for c in KEY:
-        on = on & g.edges[c].eqNullSafe(found[f"k_{c}"])
-    joined = g.edges.join(found, on, "left")
+        on = on & mine[c].eqNullSafe(found[f"k_{c}"])
+    joined = mine.join(found, on, "left")
     changed = {"target_qname": F.coalesce("target_qname", "target"), "confidence_tier": F.coalesce("tier", "confidence_tier")}
-    return Graph(g.files, g.nodes, joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in g.edges.columns]))
+    own = [c for c in g.edges.columns if c != "extra"]
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in own], F.coalesce("further", F.lit(False)).alias("extra"))
+
+
+def apply(g: Graph, folding: Sequence[str] | None = None, guesses_only: bool = False) -> Graph:
+    """The graph with what `resolve` links; linked edges keep their raw name, further targets are further edges."""
+    return Graph(g.files, g.nodes, linked(g, folding, guesses_only).select(*g.edges.columns))
