@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tierwalk.functions.vocabulary import TIERS, TOKEN_LENGTH, TOKEN_STOP
+from tierwalk.functions.vocabulary import READ_LAST_ANYWHERE, READ_LATE, RESPONSIBILITIES, TIERS, TOKEN_LENGTH, TOKEN_STOP, WEB_ROOTS
 
 
 def tier_rank(tier: str | Column = "confidence_tier") -> Column:
@@ -159,3 +159,115 @@ def canonical_url(column: str, significant: Iterable[str]) -> Column:
 def share(part: str | Column, whole: str | Column) -> Column:
     p, w = (F.col(x) if isinstance(x, str) else x for x in (part, whole))
     return F.when(w > 0, F.round(p / w, 4)).otherwise(F.lit(0.0))
+
+
+def kwargs_at(name: str, selector: str) -> Column:
+    """The keyword argument is the literal, or `absent`, or `dynamic` (passed, but no literal); unrecorded ones never match."""
+    held = F.map_contains_key("kwargs", name)
+    if selector == "absent":
+        return F.col("kwargs").isNotNull() & ~held
+    value = F.try_element_at("kwargs", F.lit(name))
+    return F.coalesce(held & value.isNull() if selector == "dynamic" else value == selector, F.lit(False))
+
+
+def relates_to(table: str, raw: str = "target_raw") -> Column:
+    """A raw name that means the table, bare or qualified, or a member of it; case does not count."""
+    low, whole = F.lower(raw), table.lower()
+    bare = whole.rsplit(".", 1)[-1]
+    return (low == whole) | low.startswith(whole + "::") | (low == bare) | low.startswith(bare + "::") | low.endswith("." + bare) | low.contains("." + bare + "::")
+
+
+def ends_at_boundary(column: str, suffix: str) -> Column:
+    """The value ends with the suffix, and no letter, digit or underscore stands before it."""
+    before = F.expr(f"left({column}, length({column}) - {len(suffix)})")
+    return F.col(column).endswith(suffix) & ~before.rlike("[A-Za-z0-9_]$")
+
+
+def tail_fits(raw: str, path: str) -> Column:
+    """Whether an include as written can mean the path: its last quoted string, or all of it, is the path's tail."""
+    quoted = F.regexp_extract_all(F.col(raw), F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0))
+    said = F.when(F.size(quoted) > 0, F.regexp_replace(F.try_element_at(quoted, F.lit(-1)), "^[\"']|[\"']$", "")).otherwise(F.col(raw))
+    parts = F.filter(F.split(F.replace(F.lower(said), F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", ".."))
+    own = path.lower().split("/")
+    fits = [parts == F.array(*map(F.lit, own[i:])) for i in range(len(own))]
+    out = fits[0]
+    for f in fits[1:]:
+        out = out | f
+    return out
+
+
+def member_of(container: str | Column, member: str | Column) -> Column:
+    return F.concat_ws("::", container, member)
+
+
+def type_of(column: str) -> Column:
+    """The reference to the declared type of a member."""
+    return F.concat(F.col(column), F.lit("()"))
+
+
+def typed_member(column: str) -> Column:
+    """The member whose declared type a reference means, or null."""
+    return F.when(F.col(column).endswith("()"), F.expr(f"left({column}, length({column}) - 2)"))
+
+
+def responsibility(segment: Column) -> Column:
+    """What a path segment names, simple plurals included, or null."""
+    low = F.lower(segment)
+    single = F.when(low.endswith("ies"), F.concat(F.regexp_replace(low, "ies$", ""), F.lit("y"))).otherwise(F.regexp_replace(low, "s$", ""))
+    out = F.lit(None).cast("string")
+    for layer, words in reversed(RESPONSIBILITIES):
+        out = F.when(low.isin(*words) | single.isin(*words), layer).otherwise(out)
+    return out
+
+
+def responsibility_layer(column: str) -> Column:
+    """The responsibility of the deepest directory that names one, or null."""
+    parts = F.split(F.col(column), "/")
+    named = F.filter(F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), responsibility), lambda x: x.isNotNull())
+    return F.try_element_at(named, F.lit(-1))
+
+
+def names_test(column: str) -> Column:
+    """Any directory of the path names tests."""
+    parts = F.split(F.col(column), "/")
+    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.coalesce(responsibility(p) == "Tests", F.lit(False)))
+
+
+def test_role(flag: str, path: str) -> Column:
+    """The adapter's word on tests, or the path's where it gave none."""
+    return F.coalesce(F.col(flag), names_test(path))
+
+
+def reading_rank(column: str) -> Column:
+    """Where a file that nothing leads to starts in a reading order; lower is earlier."""
+    early = [name for name, _ in RESPONSIBILITIES if name not in READ_LATE]
+    rank = {name: i for i, name in enumerate(early)} | {name: len(early) + 1 + i for i, name in enumerate(n for n, _ in RESPONSIBILITIES if n in READ_LATE)}
+    parts = F.split(F.col(column), "/")
+    inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    own = F.lit(len(early))
+    layer = responsibility_layer(column)
+    for name, i in rank.items():
+        own = F.when(layer == name, i).otherwise(own)
+    own = F.when(F.exists(inner, lambda p: F.lower(p).isin(*WEB_ROOTS)), rank["HTTP / Entry"]).otherwise(own)
+
+    def anywhere(layer: str) -> Column:
+        return F.exists(inner, lambda p: F.coalesce(responsibility(p) == layer, F.lit(False)))
+
+    for name in reversed(READ_LAST_ANYWHERE):
+        own = F.when(anywhere(name), rank[name]).otherwise(own)
+    return own
+
+
+def plain_default(column: str, layers: int = 8) -> Column:
+    """A DEFAULT as a comparable string: case, brackets and blanks outside quotes go, and up to so many outer parentheses."""
+    parts = F.regexp_extract_all(F.col(column), F.lit("'(?:[^']|'')*'|[^']+"), F.lit(0))
+    text = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("'"), p).otherwise(F.lower(F.regexp_replace(p, r"[\s\[\]]+", "")))), "")
+
+    def opened(t: Column) -> Column:
+        # Depth after each mark of what stands between the outer parentheses: never below nothing, nothing in the end.
+        marks = F.regexp_extract_all(F.regexp_replace(F.substring(t, 2, 1_000_000_000), r"\)$", ""), F.lit("'(?:[^']|'')*'|[()]"), F.lit(0))
+        depth = F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, m: F.struct((a["d"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("d"), F.least(a["low"], a["d"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("low")))
+        balanced = (depth["d"] == 0) & (depth["low"] == 0)
+        return F.when(t.startswith("(") & t.endswith(")") & balanced, F.regexp_replace(F.substring(t, 2, 1_000_000_000), r"\)$", "")).otherwise(t)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), text, lambda t, _: opened(t))

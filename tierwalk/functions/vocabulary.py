@@ -29,3 +29,22 @@ SCHEMA_OBJECTS = ("Table", "Column", "View")
 TYPE_OF, CHAIN_STEPS, SUBTYPES = "()", 8, 64
 #: Crumbs of names that say nothing, and the least length of a word of a name.
 TOKEN_STOP, TOKEN_LENGTH = ("get", "set", "new", "add", "the", "and", "for", "with", "from"), 4
+#: Words of path segments and the responsibility they name, in the order of reading; what is read last.
+RESPONSIBILITIES = (
+    ("HTTP / Entry", ("controller", "handler", "route", "endpoint", "api")),
+    ("Services", ("service", "usecase")),
+    ("Domain / Data", ("model", "entity", "repository")),
+    ("Views", ("view", "template", "page", "form")),
+    ("Middleware / Auth", ("middleware", "filter", "auth", "session")),
+    ("Background Jobs", ("job", "cron", "queue", "worker")),
+    ("Integration / Reporting", ("report", "export", "integration")),
+    ("Shared Library", ("lib", "util", "helper", "common", "system")),
+    ("Tests", ("test", "spec", "mock")),
+    ("Config / Migration", ("config", "migration")),
+    ("Vendor / Framework", ("vendor",)),
+)
+READ_LATE = ("Tests", "Config / Migration", "Vendor / Framework")
+READ_LAST_ANYWHERE = ("Tests", "Vendor / Framework")
+WEB_ROOTS = ("public", "www", "htdocs")
+UNCATEGORISED, ROOT_LAYER = "Uncategorised", "(root)"
+BANDS = ("source", "mixed", "sink", "isolated")

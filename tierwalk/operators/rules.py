@@ -22,6 +22,20 @@ class Forbidden:
     kinds: Sequence[str] = IMPACT_KINDS
     transitive: bool = False
     depth: int | None = None
+    direction: str = "outgoing"
+
+
+@dataclass(frozen=True)
+class Required:
+    """Symbols of the sources (of a kind and a name, if given) that must reach one of the required names."""
+
+    id: str
+    sources: Sequence[str]
+    required: Sequence[str]
+    kinds: Sequence[str] = IMPACT_KINDS
+    kind: str | None = None
+    name: str | None = None
+    depth: int = 5
 
 
 def _matches(column: str, globs: Sequence[str]):
@@ -32,10 +46,15 @@ def check(g: Graph, rule: Forbidden) -> DataFrame:
     """(rule, source_file, forbidden_file, verdict): confirmed over RESOLVED edges, else a candidate.
 
     A transitive rule is walked until nothing new is met. Where it has a depth and more lay beyond it, the source file also
-    has a row `incomplete` without a forbidden file.
+    has a row `incomplete` without a forbidden file. An incoming rule asks who depends on the sources: the same walk over
+    the edges backwards.
     """
+    if rule.direction not in ("outgoing", "incoming"):
+        raise ValueError(f"a rule looks outgoing or incoming, not {rule.direction!r}")
     at = g.nodes.select("qualified_name", "file_path").distinct()
     edges = g.linked().where(F.col("kind").isin(*rule.kinds)).select("source_qname", "target_qname", (C.tier_rank() == 0).alias("proven")).distinct()
+    if rule.direction == "incoming":
+        edges = edges.select(F.col("target_qname").alias("source_qname"), F.col("source_qname").alias("target_qname"), "proven")
     edges = materialise(edges, "rule-edges")
     reach = at.where(_matches("file_path", rule.sources)).select(F.col("file_path").alias("source_file"), F.col("qualified_name").alias("name"))
     seen, hits, hop = reach, None, 0
@@ -58,6 +77,62 @@ def check(g: Graph, rule: Forbidden) -> DataFrame:
     return out.union(beyond.select(F.lit(rule.id), "source_file", F.lit(None).cast("string"), F.lit("incomplete")).distinct())
 
 
+def check_required(g: Graph, rule: Required) -> DataFrame:
+    """(rule, source_qname, file_path, verdict, open_edges) of the sources that reach no required name over RESOLVED edges.
+
+    `confirmed` where no weaker or open edge was met on the way, else a `candidate`. All sources walk together.
+    """
+    sources = g.nodes.where(_matches("file_path", rule.sources))
+    if rule.kind:
+        sources = sources.where(F.col("kind") == rule.kind)
+    if rule.name:
+        sources = sources.where(F.col("name").rlike(rule.name))
+    sources = materialise(sources.groupBy(F.col("qualified_name").alias("source_qname")).agg(F.min("file_path").alias("file_path")), "required")
+    edges = g.edges.where(F.col("kind").isin(*rule.kinds))
+    proven = materialise(edges.where((C.tier_rank() == 0) & F.col("target_qname").isNotNull()).select(F.col("source_qname").alias("name"), "target_qname").distinct(), "required-edges")
+    seen = sources.select("source_qname", F.col("source_qname").alias("name"))
+    at = seen
+    for _ in range(rule.depth):
+        step = at.join(proven, "name").select("source_qname", F.col("target_qname").alias("name")).distinct()
+        at = materialise(step.join(seen, ["source_qname", "name"], "left_anti"), "required-step")
+        if at.isEmpty():
+            break
+        seen = seen.union(at)
+    reached = seen.where(F.col("name").isin(*rule.required)).select("source_qname").distinct()
+    weak = edges.where(F.col("target_qname").isNull() | (C.tier_rank() > 0)).groupBy(F.col("source_qname").alias("name")).agg(F.count("*").alias("n"))
+    missed = seen.join(reached, "source_qname", "left_anti").join(weak, "name", "left").groupBy("source_qname").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("open_edges"))
+    out = sources.join(missed, "source_qname")
+    return out.select(F.lit(rule.id).alias("rule"), "source_qname", "file_path", F.when(F.col("open_edges") == 0, "confirmed").otherwise("candidate").alias("verdict"), "open_edges")
+
+
+def rule_report(g: Graph, rules: Sequence[Forbidden | Required]) -> DataFrame:
+    """(rule, sources, targets, status): a rule with an empty side proves nothing and says so."""
+    each = []
+    for r in rules:
+        targets = g.files.where(_matches("path", r.forbidden)) if isinstance(r, Forbidden) else g.nodes.where(F.col("qualified_name").isin(*r.required)).select("qualified_name").distinct()
+        counts = g.files.where(_matches("path", r.sources)).agg(F.count("*").alias("sources")).join(targets.agg(F.count("*").alias("targets")))
+        empty = (F.col("sources") == 0) | (F.col("targets") == 0)
+        each.append(counts.select(F.lit(r.id).alias("rule"), "sources", "targets", F.when(empty, "matched_no_files").otherwise("checked").alias("status")))
+    out = each[0]
+    for more in each[1:]:
+        out = out.union(more)
+    return out
+
+
+def defaults_by_expression(g: Graph, expression: str, column: str = "default_expr") -> DataFrame:
+    """What `column_defaults` counts, for every column whose default is the same expression, in all tables at once."""
+    said = F.lit(expression)
+    wanted = g.nodes.where("kind = 'Column'").withColumn("said", said).where(C.plain_default(column) == C.plain_default("said"))
+    columns = wanted.select("qualified_name", C.container().alias("table")).distinct()
+    writes = g.linked().where("kind = 'WRITES'").select("source_qname", "target_qname", F.substring_index("target_qname", "::", 1).alias("table")).distinct()
+    writes = materialise(writes.join(columns.select("table").distinct(), "table", "left_semi"), "writes")
+    per = writes.groupBy("table", "source_qname").agg(F.max(F.col("target_qname") == F.col("table")).alias("whole"))
+    totals = per.groupBy("table").agg(F.count("*").alias("writers"), F.count_if("whole").alias("unmeasured"))
+    named = writes.where("target_qname <> table").join(per, ["table", "source_qname"]).groupBy(F.col("target_qname").alias("qualified_name")).agg(F.count("*").alias("named"), F.count_if(~F.col("whole")).alias("measured"))
+    out = columns.join(totals, "table", "left").join(named, "qualified_name", "left").na.fill(0)
+    return out.select("qualified_name", "writers", "named", "unmeasured", (F.col("writers") - F.col("unmeasured") - F.col("measured")).alias("omitted"))
+
+
 def column_defaults(g: Graph, table: str) -> DataFrame:
     """For each column of a table: writers, those that name it, those that write the table only, and those that leave it out."""
     columns = g.nodes.where((F.col("kind") == "Column") & F.col("qualified_name").startswith(table + "::")).select("qualified_name").distinct()

@@ -13,7 +13,8 @@ from tierwalk.functions.vocabulary import TIERS
 from tierwalk.session import shared_folder
 
 VERSION = "1"
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str, tuple], str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 FILES = "path string, language string, hash string, parsed_ok boolean"
 NODES = "kind string, name string, qualified_name string, file_path string, line_start int, is_test boolean"
 EDGES = "kind string, source_qname string, target_qname string, target_raw string, file_path string, line int, confidence_tier string, args array<string>"
@@ -49,13 +50,23 @@ def _read(spark: SparkSession, folder: str) -> Graph:
     return Graph(one("files", FILES), one("nodes", NODES), one("edges", EDGES))
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Lengths and times of the tables the projection reads."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in TABLES:
+        at = path(f"{sf_dir}/{name}.parquet")
+        status = at.getFileSystem(conf).getFileStatus(at)
+        out.append((status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def built(spark: SparkSession, sf_dir: str) -> Graph:
     """The projection of a folder's tables, written once an application as a snapshot, as an index would be, and read from it.
 
-    Edges lie by kind and only the columns a query needs are read. Tables that change under the same path need a new
-    session, or `project`.
+    Edges lie by kind and only the columns a query needs are read. Tables that change under the same path are projected anew.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _BUILT:
         folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
         save(project(spark, sf_dir), folder)
@@ -64,11 +75,12 @@ def built(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def save(graph: Graph, folder: str) -> None:
-    """Edges are laid out by kind, so that reads of one kind skip the other folders."""
+    """Edges are laid out by kind, so that reads of one kind skip the other folders, and in the order of their targets within a
+    file, so that a point read skips most of each."""
     spark = graph.files.sparkSession
     graph.files.write.mode("overwrite").parquet(f"{folder}/files")
     graph.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
-    graph.edges.repartition("kind", "file_path").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
+    graph.edges.repartition("kind", "file_path").sortWithinPartitions("kind", "target_qname").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
     spark.createDataFrame([("version", VERSION)], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
 
@@ -104,7 +116,7 @@ def keep_first(nodes: DataFrame) -> DataFrame:
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     """The star schema as a graph: customers, parts and suppliers are classes, orders are methods, lines are calls."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES}
     place = F.broadcast(t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name"))
     cust = t["customer"].join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("k"), "c_name", F.col("c_nationkey").alias("nk"), (F.col("c_mktsegment") == "MACHINERY").alias("t"), F.expr("concat('sales/', r_name, '/', c_mktsegment, '/c', c_custkey % 23, '.crm')").alias("path")
