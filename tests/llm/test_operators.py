@@ -239,6 +239,7 @@ def test_tiff_query_and_pages(spark):
     assert collections.Counter(r.id for r in rows)[len(texts) - 1] == 2 and all(r.error is None for r in rows)
     broken = spark.createDataFrame([(1, bytearray(b"II*\0junk")), (2, None), (3, bytearray(tiff.store(b"x")[:-40]))], "doc_id long, media binary")
     assert all(r.error for r in tiff.page_rows(broken).collect())
+    assert tiff.page_rows(broken.limit(0)).count() == 0
 
 
 # Near duplicates
@@ -494,6 +495,10 @@ def test_packing_is_whole_and_near_the_bound(spark, documents):
     lengths = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
     rows = packing.pack(packing.pieces(docs, path), cell=64).collect()
     n = check_packing(rows, lengths, 2048)
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in docs.collect()}
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in rows)
+    odd = packing.pack(packing.pieces(clashing(spark, ODD), path)).collect()
+    check_packing(odd, {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in enumerate(ODD)}, 2048)
     assert n <= -(-sum(lengths.values()) // 2048) * 1.02 + 1
     assert packing.pack(packing.pieces(docs.limit(0), path)).count() == 0
 

@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus, each against a plain version of its decision."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -35,6 +36,31 @@ def test_quality_drops_junk_and_keeps_most(stages):
     assert {r.doc_id: r.text for r in before.collect()}.items() >= {r.doc_id: r.text for r in after.collect()}.items()
 
 
+def test_quality_keeps_what_scores_enough(spark, stages):
+    from tierwalk.llm import quality
+    from tierwalk.llm.common import held_out
+
+    _, before, after = stages[0]
+    model = quality.train(before, spark.read.parquet(f"{DIR}/labels.parquet"), ~held_out("doc_id", 5, 0))
+    rows = before.collect()
+    score = model.score(np.stack([quality.statistics((r.text or "").encode()) for r in rows]))
+    assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r, x in zip(rows, score, strict=True) if x >= 0.3)
+
+
+def test_packing_places_every_piece(stages):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_operators import check_packing
+
+    _, before, after = stages[4]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.collect()}
+    assert len(lengths) == before.count()
+    n = check_packing(after.collect(), lengths, 2048)
+    assert n <= -(-sum(lengths.values()) // 2048) * 1.01 + 1
+
+
 def test_one_document_of_each_group_stays(stages):
     from tests.llm.test_operators import least_reachable, shingle_set
 

@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Connected components of a link table by alternating large and small stars.
+
+Edge cases: repeated links and links both ways count once; a link of a node to itself is none; an empty table has no
+components; a table that does not settle in the given rounds raises.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,9 @@
 In a text whose only white space is single blanks and single line ends inside it, the pre-tokenizer never joins anything
 across a blank or a line end, so the ids are those of the words (with the blank before them) in turn. Other texts, and
 texts that could hold a special token, go to the tokenizer whole.
+
+Edge cases: an empty text has no ids; equal texts have equal ids, whatever the caches hold; caches are bounded and a long
+text costs no more of them than its distinct words.
 """
 
 from __future__ import annotations
