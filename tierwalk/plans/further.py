@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from tierwalk.operators import rules as U
 from tierwalk.operators import seeds as E
 from tierwalk.operators import walks as W
 from tierwalk.plans.catalogue import CALLERS, COLS, EDGE_ORDER, IMPACT, PAIRS, _asking, add
+from tierwalk.session import materialise, shared_folder
 from tierwalk.sources.graph import Graph
+from tierwalk.streaming.incremental import Store
 
 # Call sites
 
@@ -261,3 +265,36 @@ add(
     "SELECT count(*) n FROM ords",
     lambda g: _asking(g).nodes.where("kind = 'Method'").where(F.coalesce("declared_type", "doc_type").isNotNull()).agg(F.count("*").alias("n")),
 )
+
+
+# Batches
+
+
+def _as_raw(g: Graph) -> DataFrame:
+    """The projection as an adapter would put it out: an object a file, edges that name their target and are linked to none."""
+    nodes = g.nodes.groupBy(F.col("file_path").alias("path")).agg(F.collect_list(F.struct("kind", "name", "qualified_name", "line_start", "is_test")).alias("nodes"))
+    edge = F.struct("kind", "source_qname", F.lit(None).cast("string").alias("target_qname"), "target_raw", "line", "confidence_tier", "args")
+    edges = g.edges.groupBy(F.col("file_path").alias("path")).agg(F.collect_list(edge).alias("edges"))
+    return g.files.join(nodes, "path", "left").join(edges, "path", "left").withColumn("removed", F.lit(False))
+
+
+def _in_batches(g: Graph) -> DataFrame:
+    """Links of a store that is first given all but some suppliers, then those, while some parts go."""
+    spark = g.files.sparkSession
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    raw = materialise(_as_raw(g), "raw")
+    late, gone = F.col("path").startswith("supply/EUROPE/"), F.col("path").startswith("catalog/Brand_2/")
+    store.apply(raw.where(~late), 0)
+    store.apply(raw.where(late | gone).withColumn("removed", gone), 1)
+    edges = store.graph().edges
+    return edges.groupBy("kind", "confidence_tier").agg(F.count("*").alias("n"), F.count("target_qname").alias("linked"))
+
+
+add(
+    "incremental_links",
+    """, rn AS (SELECT qualified_name q FROM nodes WHERE NOT starts_with(file_path, 'catalog/Brand_2/'))
+    SELECT kind, confidence_tier, count(*) n, count(*) FILTER (kind IN ('CALLS', 'NEW', 'EXTENDS', 'READS', 'WRITES') AND confidence_tier <> 'DYNAMIC'
+        AND (target_raw IN (SELECT q FROM rn) OR kind = 'CALLS' AND starts_with(target_raw, 'price_'))) linked
+    FROM edges WHERE NOT starts_with(file_path, 'catalog/Brand_2/') GROUP BY 1, 2""",
+    _in_batches,
+)
