@@ -93,9 +93,9 @@ def mirrors(g: Graph, shared: int = MIRROR_SHARED, overlap: float = MIRROR_OVERL
     least = F.greatest(F.lit(shared), F.ceil(F.col("n") * (overlap - 0.0005) - 1e-9))
     # Paths that no sibling has come first in the order, and lead nowhere: they only count.
     alone = at.join(often, ["parent", "relative"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    first = materialise(alone.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("often") > 1)).select("parent", "relative", "child", "n"), "rare")
+    first = alone.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("often") > 1)).select("parent", "relative", "child", "n")
     left, right = first.withColumnRenamed("child", "a").withColumnRenamed("n", "na"), first.withColumnRenamed("child", "b").withColumnRenamed("n", "nb")
-    near = materialise(left.join(right, ["parent", "relative"]).where("a < b").select("parent", "a", "b", "na", "nb").distinct(), "pairs")
+    near = left.join(right, ["parent", "relative"]).where("a < b").select("parent", "a", "b", "na", "nb").distinct()
     both = near.join(at.select("parent", F.col("child").alias("a"), "relative"), ["parent", "a"]).join(at.select("parent", F.col("child").alias("b"), "relative"), ["parent", "b", "relative"])
     pairs = both.groupBy("parent", "a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
     out = pairs.withColumn("overlap", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 3)).where(F.col("overlap") >= overlap)
