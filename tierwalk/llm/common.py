@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.session import materialise
+from tierwalk.session import discard, materialise
 
-__all__ = ["U64", "WordIds", "held_out", "materialise", "mix", "rolling", "rows_of", "table"]
+__all__ = ["U64", "WordIds", "discard", "held_out", "materialise", "mix", "rolling", "rows_of", "table"]
 
 U64 = np.uint64
 

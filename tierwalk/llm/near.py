@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierwalk.llm.common import U64, WordIds, materialise, mix, rolling, rows_of
+from tierwalk.llm.common import U64, WordIds, discard, materialise, mix, rolling, rows_of
 from tierwalk.llm.components import components
 
 #: Bands times rows minima; a pair at 0.8 is missed by all bands once in two million times.
@@ -228,7 +228,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = materialise(sets_of(texts, k), "sets")
     sent = sets.join(ends, "doc_id").select(F.col("cell").alias("at"), "doc_id", "shingles")
-    return dealt.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(_confirmer(least), "a long, b long")
+    confirmed = materialise(dealt.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(_confirmer(least), "a long, b long"), "pairs")
+    discard(sets)
+    return confirmed
 
 
 def _apart(rows: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -277,6 +279,7 @@ def links(docs: DataFrame, known: DataFrame, k: int, least: int) -> DataFrame:
         if before is not None and before.count() == found.count():
             break
     apart = materialise(_apart(rows, sketches, roots), "apart")
+    discard(rows, sketches)
     return found.union(across(apart, docs, k, least)).distinct()
 
 

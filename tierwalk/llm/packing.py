@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import materialise, rows_of
+from tierwalk.llm.common import discard, materialise, rows_of
 from tierwalk.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -253,6 +253,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
     """PIECE rows with sequence_id and offset."""
     items = materialise(items, "pieces")
     first = materialise(_round(items, capacity, cell, islands, epochs, population, children, 0), "packed")
+    discard(items)
     roomy = F.col("used") <= int(capacity * (1 - room))
     again = _round(first.where(roomy).select(*items.columns), capacity, cell, islands, epochs, population, children, 1)
     return first.where(~roomy).unionByName(again).drop("used")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import U64, WordIds, materialise, mix, rolling, rows_of
+from tierwalk.llm.common import U64, WordIds, discard, materialise, mix, rolling, rows_of
 
 WIDTH, PHRASE = 20, 10
 SHARD_BYTES = 5_000_000
@@ -272,7 +272,9 @@ def remove(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_byte
     # Written first, so that the join has plain shuffles on both sides and a very common phrase can be split.
     recurring = materialise(phrases.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring")
     told = materialise(phrases.join(recurring, "h").select("shard", "h"), "told")
+    discard(phrases, recurring)
     found = materialise(base.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_confirm(width, phrase, bits), WINDOWS), "windows")
+    discard(told)
     passages = found.groupBy("w1", "w2").agg(F.sum("n").alias("all"), F.min(F.struct("at", "start")).alias("first")).where("all > 1")
     passages = materialise(passages.selectExpr("w1", "w2", "first.at as first_at", "first.start as first_start"), "passages")
     # A shard whose only copy is the first one has nothing to remove for it.
