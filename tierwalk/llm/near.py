@@ -313,7 +313,9 @@ def unique(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
     """One row of each group: that of the smallest id, once. Rows without an id all stay. Columns are those of `docs`."""
     found = materialise(find(docs, k, least), "near").where("doc_id is not null")
     gone = found.where("not kept").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     once = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti")
     stays = found.where("kept").select("doc_id", "text_hash").distinct().join(repeated, "doc_id", "left_semi")
     # Only the rows of repeated ids are moved with their texts; of rows with the same id and text the first in order stays.
