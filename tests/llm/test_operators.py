@@ -808,3 +808,17 @@ def test_nothing_in_nothing_out(spark):
     bench = spark.createDataFrame([(0, "a b")], "item_id long, text string")
     for rows in (pii.digest(pii.find(docs)), tiff.digest(tiff.store_texts(docs)), decontaminate.digest(decontaminate.find(docs, bench)), decontaminate.clean(docs, bench), pii.redact(docs), secrets.scan(docs, LEXICON), toxicity.score(docs, None), language.predict(docs, None)):
         assert rows.count() == 0
+
+
+def test_a_worker_holds_one_cache_at_a_time():
+    import public_tokenizers
+
+    from tierwalk.llm.common import sole
+    from tierwalk.llm.tokens import encoder
+
+    near.shingles(b"one two three four five", 4)
+    assert near._WORDS
+    encode = sole(encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not near._WORDS and encode("one two")
+    near.shingles(b"one two three four five", 4)
+    assert near._WORDS and not encode.later

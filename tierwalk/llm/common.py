@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.session import discard, materialise
 
-__all__ = ["U64", "WordIds", "discard", "held_out", "materialise", "mix", "rolling", "rows_of", "table"]
+__all__ = ["U64", "WordIds", "discard", "held_out", "materialise", "mix", "release", "rolling", "rows_of", "sole", "table"]
 
 U64 = np.uint64
 
@@ -26,6 +29,29 @@ def held_out(column: str, modulus: int, remainder: int) -> F.Column:
     return (F.crc32(F.col(column).cast("string").cast("binary")) % modulus) == remainder
 
 
+_HELD: list = []  # the cache that this process fills
+_RELEASED = [0.0]
+
+
+def sole(cache):
+    """The cache, after one that another operator left in this process is emptied: workers outlive the stages of a pipeline."""
+    if not _HELD or _HELD[0] is not cache:
+        for other in _HELD:
+            other.clear()
+        _HELD[:] = [cache]
+        release(0)
+    return cache
+
+
+def release(every: float = 1) -> None:
+    """Give freed memory back to the system, once in `every` seconds at most: an idle worker otherwise keeps the most it ever used."""
+    if time.monotonic() - _RELEASED[0] >= every:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every libc can
+            ctypes.CDLL(None).malloc_trim(0)
+        _RELEASED[0] = time.monotonic()
+
+
 class WordIds(dict):
     """Stable 64-bit hashes of byte words; emptied when it has grown to `most` entries."""
 
@@ -75,3 +101,6 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.R
     for batch in batches:
         for i in range(0, batch.num_rows, most):
             yield batch.slice(i, most)
+        del batch
+        release()
+    release(0)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierwalk.llm.common import U64, WordIds, discard, materialise, mix, rolling, rows_of
+from tierwalk.llm.common import U64, WordIds, discard, materialise, mix, release, rolling, rows_of, sole
 from tierwalk.llm.components import components
 
 #: Bands times rows minima; a pair at 0.8 is missed by all bands once in two million times.
@@ -41,7 +41,7 @@ SLACK = 0.12
 #: Members of a bucket that are put in order together, and rounds of that.
 PART, ROUNDS = 2048, 2
 #: Bytes of sets in a cell of pairs.
-CELL_BYTES = 64_000_000
+CELL_BYTES = 16_000_000
 PACKED = N * B // 64
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
 _WORDS = WordIds()
@@ -55,7 +55,7 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, U64)
-    return np.unique(mix(rolling(_WORDS.of(words), min(k, len(words)))))
+    return np.unique(mix(rolling(sole(_WORDS).of(words), min(k, len(words)))))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -142,6 +142,7 @@ def _confirmer(least: int):
             held.setdefault(doc, np.asarray(x.values.to_numpy()))
         ends = zip(map(held.get, pairs.column("a").to_pylist()), map(held.get, pairs.column("b").to_pylist()), strict=True)
         kept = [i for i, (x, y) in enumerate(ends) if x is not None and y is not None and alike(x, y, least)]
+        release()
         return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return run
@@ -180,8 +181,8 @@ def _block(least: int):
 
         rows, others = (np.flatnonzero(side == s) for s in (0, 1)) if side.any() else (np.arange(len(doc)),) * 2
         out = []
-        for i in range(0, len(rows), 256):
-            part = rows[i : i + 256]
+        for i in range(0, len(rows), 64):
+            part = rows[i : i + 64]
             hits = _likely(bits[part], bits[others], n[part], n[others], least) & (root[part][:, None] != root[others][None, :])
             if rows is others:
                 hits &= part[:, None] < others[None, :]
@@ -191,6 +192,7 @@ def _block(least: int):
                 if a != b and alike(sets[x], sets[y], least):
                     up[max(a, b)] = min(a, b)
                     out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+        release()
         return pa.Table.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], schema=_LINK)
 
     return run

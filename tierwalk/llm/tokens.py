@@ -14,16 +14,20 @@ import os
 import string
 import struct
 from functools import cache
+from itertools import islice
 
 #: White space other than blanks and line ends, pairs of those, and what could start a special token.
 ODD = (*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", "\n\n", " \n", "\n ", "<|")
 #: Byte-level alphabets print each byte as one letter: printable Latin-1 as itself, the rest from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: What the byte-level alphabet prints for each letter below U+0250.
+LATIN = ["".join(chr(ALPHABET[b]) for b in chr(i).encode()) for i in range(0x250)]
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Words(dict):
@@ -33,7 +37,6 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.before, self.most = tokenizer, before, most
         self.first = before.translate(ALPHABET)
-        self.old: dict[str, bytes] = {}  # the words before the last time this one was full
         self.marks: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> bytes:
@@ -50,24 +53,22 @@ class _Words(dict):
                 if len(self.marks) < 10_000:
                     self.marks[mark] = value
             return self[base] + value
-        value = self.old.get(word)
-        if value is not None:
-            pass
-        elif word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             # Letters alone are one piece for the merges.
-            piece = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+            piece = word if word.isascii() else word.translate(LATIN)
             value = packed([t.id for t in self.tokenizer.model.tokenize(self.first + piece)])
         else:
             value = self._encoded(self.before + word)
         if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            # The words met first are by and large the common ones; of the others the older half goes.
+            for old in list(islice(self, self.most // 8, self.most // 8 + self.most // 2)):
+                del self[old]
         self[word] = value
         return value
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,6 +91,10 @@ class Encoder:
         out.pop()
         return b"".join(out)
 
+    def clear(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
 
 @cache
 def encoder(path: str) -> Encoder:
