@@ -822,3 +822,27 @@ def test_a_worker_holds_one_cache_at_a_time():
     assert not near._WORDS and encode("one two")
     near.shingles(b"one two three four five", 4)
     assert near._WORDS and not encode.later
+
+
+def test_short_words_with_marks_are_held_within_the_bound():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encode, rng = Tokenizer.from_file(path), Encoder(path, 64), random.Random(1)
+    encode("one two, three extraordinary, two,")
+    assert "two," in encode.later and "extraordinary," not in encode.later
+    for _ in range(50):
+        t = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 6))) + rng.choice(["", ",", ".", "!!"]) for _ in range(100))
+        assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encode.later) <= 64
+
+
+def test_children_know_the_room_of_their_bins():
+    rng = random.Random(2)
+    lengths = [rng.randint(20, 70) for _ in range(120)]
+    a, b = packing.Bins(lengths, 100), packing.Bins(lengths, 100)
+    a.fit(list(range(120)))
+    b.fit(list(range(119, -1, -1)))
+    for child in (packing.cross(a, b, rng), packing.shaken(a, rng)):
+        assert child.room == [100 - sum(lengths[i] for i in h) for h in child.held]
+        assert child.merit() == (len(child.held), -sum(r * r for r in child.room)) and child.known == child.merit()

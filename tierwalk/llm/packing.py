@@ -15,6 +15,7 @@ gives an empty table; other columns are not read. A cell holds a bounded number
 from __future__ import annotations
 
 import heapq
+import operator
 import random
 import zlib
 from collections.abc import Iterator
@@ -60,10 +61,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
 class Bins:
     """An individual: bins as lists of piece numbers, with the room left in each."""
 
-    def __init__(self, lengths: list[int], capacity: int, held: list[list[int]] | None = None):
+    def __init__(self, lengths: list[int], capacity: int, held: list[list[int]] | None = None, room: list[int] | None = None):
         self.lengths, self.capacity = lengths, capacity
         self.held: list[list[int]] = held or []
-        self.room: list[int] = [capacity - sum(map(lengths.__getitem__, h)) for h in self.held]
+        self.room: list[int] = [capacity - sum(map(lengths.__getitem__, h)) for h in self.held] if room is None else room
+        self.known: tuple[int, int] | None = None
         self.by_room: dict[int, list[int]] = {}
         self.rooms = 0  # bit r is set if a bin has room r
         for at, room in enumerate(self.room):
@@ -75,7 +77,7 @@ class Bins:
 
     def fit(self, items: list[int]) -> None:
         """Best fit in the order given: into the bin that is left with the least room, else into a new one."""
-        lengths = self.lengths
+        lengths, self.known = self.lengths, None
         for i in items:
             n = lengths[i]
             fitting = self.rooms >> n
@@ -95,7 +97,9 @@ class Bins:
 
     def merit(self) -> tuple[int, int]:
         """Fewer bins first, then unevenly filled ones: room gathered in few bins can be used."""
-        return len(self.held), -sum(r * r for r in self.room)
+        if self.known is None:
+            self.known = len(self.held), -sum(map(operator.mul, self.room, self.room))
+        return self.known
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -110,9 +114,8 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return best
 
 
-def filled(held: list[list[int]], loose: list[int], lengths: list[int], capacity: int) -> Bins:
-    """Bins in which loose pieces stand in for smaller ones where they fill a bin to the brim; the rest is best-fitted."""
-    room = [capacity - sum(map(lengths.__getitem__, h)) for h in held]
+def filled(held: list[list[int]], room: list[int], loose: list[int], lengths: list[int], capacity: int) -> Bins:
+    """Bins (and the room in each) in which loose pieces stand in for smaller ones where they fill a bin to the brim; the rest is best-fitted."""
     wanted: dict[int, list[tuple[int, int]]] = {}  # by the length that would fill the bin in a piece's place
     for b, r in enumerate(room):
         if r:
@@ -132,7 +135,7 @@ def filled(held: list[list[int]], loose: list[int], lengths: list[int], capacity
                 break
         else:
             rest.append(i)
-    bins = Bins(lengths, capacity, held)
+    bins = Bins(lengths, capacity, held, room)
     bins.fit(rest)
     return bins
 
@@ -140,22 +143,25 @@ def filled(held: list[list[int]], loose: list[int], lengths: list[int], capacity
 def cross(a: Bins, b: Bins, rng: random.Random) -> Bins:
     """A child of a with some of b's well-filled bins."""
     full = sorted(range(len(b.held)), key=b.room.__getitem__)[: max(1, len(b.held) * 2 // 3)]
-    held = [b.held[k] for k in rng.sample(full, max(1, len(full) // 3))]
+    chosen = rng.sample(full, max(1, len(full) // 3))
+    held, room = [b.held[k] for k in chosen], [b.room[k] for k in chosen]
     taken = {i for h in held for i in h}
     loose: list[int] = []
-    for h in a.held:
+    for h, r in zip(a.held, a.room, strict=True):
         if taken.isdisjoint(h):
             held.append(h)
+            room.append(r)
         else:
             loose += [i for i in h if i not in taken]
-    return filled([list(h) for h in held], loose, a.lengths, a.capacity)
+    return filled([list(h) for h in held], room, loose, a.lengths, a.capacity)
 
 
 def shaken(a: Bins, rng: random.Random) -> Bins:
     """A mutant: the roomiest bins and a few others are dissolved and their pieces placed anew."""
     order = sorted(range(len(a.held)), key=lambda k: -a.room[k])
     gone = {*order[: max(1, len(order) // 50)], *rng.sample(order, max(1, len(order) // 25))}
-    return filled([list(h) for k, h in enumerate(a.held) if k not in gone], [i for k in gone for i in a.held[k]], a.lengths, a.capacity)
+    stay = [k for k in range(len(order)) if k not in gone]
+    return filled([list(a.held[k]) for k in stay], [a.room[k] for k in stay], [i for k in gone for i in a.held[k]], a.lengths, a.capacity)
 
 
 def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int, population: int, children: int) -> tuple[list[int], bool]:

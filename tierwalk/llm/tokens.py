@@ -23,6 +23,8 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: What the byte-level alphabet prints for each letter below U+0250.
 LATIN = ["".join(chr(ALPHABET[b]) for b in chr(i).encode()) for i in range(0x250)]
+#: Words with marks are held up to this length: short ones come again, the others are put together each time.
+SHORT = 7
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
@@ -52,8 +54,10 @@ class _Words(dict):
                 value = self._encoded(mark)
                 if len(self.marks) < 10_000:
                     self.marks[mark] = value
-            return self[base] + value
-        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            value = self[base] + value
+            if len(word) > SHORT:
+                return value
+        elif word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             # Letters alone are one piece for the merges.
             piece = word if word.isascii() else word.translate(LATIN)
             value = packed([t.id for t in self.tokenizer.model.tokenize(self.first + piece)])
