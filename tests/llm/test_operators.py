@@ -846,3 +846,17 @@ def test_children_know_the_room_of_their_bins():
     for child in (packing.cross(a, b, rng), packing.shaken(a, rng)):
         assert child.room == [100 - sum(lengths[i] for i in h) for h in child.held]
         assert child.merit() == (len(child.held), -sum(r * r for r in child.room)) and child.known == child.merit()
+
+
+def test_only_runs_of_phrase_words_are_streamed():
+    import pyarrow as pa
+
+    common = [b"c%d" % i for i in range(30)]
+    texts = [b" ".join(common), b" ".join([*(b"x%d" % i for i in range(500)), *common[:9], b"y", *common, b"z", *common[5:20]])]
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array(texts, pa.binary()), "key": pa.array([7, 8], pa.int64()), "shard": pa.array([0, 0], pa.int32())})
+    known = pa.table({"at": pa.array([2], pa.int64()), "key": pa.array([8], pa.int64()), "start": pa.array([510], pa.int32()), "first_at": pa.array([1], pa.int64()), "first_start": pa.array([0], pa.int32())})
+    s = repeats.Shard(docs)
+    passages = repeats.Passages(s, s.places(known), 20, 10)
+    assert len(passages.text) <= 60 * passages.size  # not the 588 words of both
+    assert sorted(passages.occurrences()[0].tolist()) == [0, 541]
+    assert np.flatnonzero(repeats.marks(s, known, 20, 10)).tolist() == list(range(541, 561))

@@ -115,12 +115,26 @@ class Shard(Words):
         self.ids = np.array([LAST if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
         self.keys = docs.column("key").to_numpy()
 
-    def letters(self) -> tuple[str, int]:
-        """The run of words in letters, so many a word: nodes of the automaton then have few branches."""
+    def letters(self, phrases: np.ndarray, phrase: int) -> tuple[str, int, np.ndarray]:
+        """Runs of words that all stand in phrases (which start at these places), in so many letters a word, and the place of each word.
+
+        Nodes of the automaton then have few branches. A phrase cannot occur elsewhere; runs shorter than one are left out, and
+        after each run stands the word that ends it, in letters that no phrase has.
+        """
         _, number = np.unique(self.hashes, return_inverse=True)
-        size = max(1, -(-int(number.max(initial=1)).bit_length() // DIGITS))
-        places = np.arange(size) * DIGITS
-        return (((number[:, None] >> places) & ((1 << DIGITS) - 1)) + 48).astype(np.uint8).tobytes().decode("latin-1"), size
+        used = np.zeros(int(number.max(initial=0)) + 1, bool)
+        for j in range(phrase):
+            used[number[phrases + j]] = True
+        number, inside = (np.cumsum(used) - 1)[number], used[number]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        long = end - start >= phrase
+        start, n = start[long], (end - start)[long] + 1
+        place = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+        size = max(1, -(-int(used.sum()).bit_length() // DIGITS))
+        letters = (((number[place][:, None] >> np.arange(size) * DIGITS) & ((1 << DIGITS) - 1)) + 48).astype(np.uint8)
+        letters[np.cumsum(n) - 1] = 47
+        return letters.tobytes().decode("latin-1"), size, place
 
     def candidates(self, recurring: np.ndarray, width: int, phrase: int, bits: int) -> np.ndarray:
         """Places of the windows whose least phrase recurs."""
@@ -152,9 +166,10 @@ class Passages:
         self.which, self.before = order, inside[order]
         self.begin = np.searchsorted(group[order], np.arange(len(one) + 1))
         self.at = at
-        self.text, self.size = s.letters()
+        phrases = (at + inside)[one]
+        self.text, self.size, self.place = s.letters(phrases, phrase)
         self.automaton = ahocorasick.Automaton()
-        for i, p in enumerate(((at + inside)[one] * self.size).tolist()):
+        for i, p in enumerate((np.searchsorted(self.place, phrases) * self.size).tolist()):
             self.automaton.add_word(self.text[p : p + phrase * self.size], i)
         self.automaton.make_automaton()
 
@@ -163,7 +178,7 @@ class Passages:
         found = np.array(list(self.automaton.iter(self.text)) if len(self.automaton) else [], np.int64).reshape(-1, 2)
         starts, group = found[:, 0] + 1 - self.phrase * self.size, found[:, 1]
         whole = starts % self.size == 0
-        starts, group = starts[whole] // self.size, group[whole]
+        starts, group = self.place[starts[whole] // self.size], group[whole]
         n = np.diff(self.begin)[group]
         # All passages of each phrase that occurred: the k-th of the n of a hit.
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -205,14 +220,13 @@ def _confirm(width: int, phrase: int, bits: int):
 
 def marks(s: Shard, known: pa.Table, width: int, phrase: int) -> np.ndarray:
     """For each word of the shard whether an occurrence of a known passage that also starts earlier covers it."""
-    gone = np.zeros(len(s.hashes) + 1, np.int32)
+    gone = np.zeros(len(s.hashes) + 1, np.int64)
     if known.num_rows:
         place, passage = Passages(s, s.places(known), width, phrase).occurrences()
         doc, start = s.ids[s.number[place]], place - s.first[s.number[place]]
         d, b = known.column("first_at").to_numpy()[passage], known.column("first_start").to_numpy()[passage]
         later = place[(doc > d) | (doc == d) & (start > b)]
-        np.add.at(gone, later, 1)
-        np.add.at(gone, later + width, -1)
+        gone += np.bincount(later, minlength=len(gone)) - np.bincount(later + width, minlength=len(gone))
     return np.cumsum(gone) > 0
 
 
