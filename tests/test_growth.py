@@ -4,7 +4,7 @@ from contextlib import contextmanager
 
 import duckdb
 
-from tierwalk.operators import rules
+from tierwalk.operators import resolve, rules
 from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, project
 
 DIR = "/root/testdata/sf0.001"
@@ -78,3 +78,30 @@ def test_source_files_of_a_rule_walk_in_one_row(spark, monkeypatch):
     assert max(rows) < n * shared / 10
     cut = rules.check(g, rules.Forbidden("r", ["src/**"], ["bad/**"], ("CALLS",), transitive=True, depth=1)).collect()
     assert {(r.source_file, r.forbidden_file, r.verdict) for r in cut} == {(f"src/{i}.x", None, "incomplete") for i in range(n)}
+
+
+def test_requests_meet_the_types_that_declare_a_member_and_not_all_above(spark, monkeypatch):
+    deep, asked = 8, 100
+    names = [f"T{i}" for i in range(deep)] + [f"T0::m{j}" for j in range(asked)] + [f"T{deep - 1}::low"]
+    nodes = spark.createDataFrame([("Method" if "::" in n else "Class", n.split("::")[-1], n, "a.x", 1, False) for n in names], NODES)
+    up = [("EXTENDS", f"T{i}", f"T{i - 1}") for i in range(1, deep)]
+    calls = [("CALLS", "s", f"T{deep - 1}::m{j}") for j in range(asked)] + [("CALLS", "s", "T0::low")]
+    edges = spark.createDataFrame([(k, s, None, r, "a.x", i, "RESOLVED", None) for i, (k, s, r) in enumerate(up + calls)], EDGES)
+    g = Graph(spark.createDataFrame([("a.x", "x", "h", True)], FILES), nodes, edges)
+    rows, write = [], resolve.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolve, "materialise", counted)
+    want = {(f"T{deep - 1}::m{j}", f"T0::m{j}", "inherited") for j in range(asked)} | {("T0::low", f"T{deep - 1}::low", "subtype")}
+
+    def found():
+        return {(r.target_raw, r.target, r.via) for r in resolve.resolve(g).where("kind = 'CALLS'").collect()}
+
+    assert found() == want
+    assert max(rows) < 3 * asked
+    monkeypatch.setattr(resolve, "SHARED", 0)  # every member gone through by the types near its receiver
+    assert found() == want
