@@ -3,8 +3,10 @@
 from contextlib import contextmanager
 
 import duckdb
+from pyspark.sql.classic.dataframe import DataFrame
 
-from tierwalk.operators import resolve, rules
+from tierwalk.operators import analytics, resolve, rules
+from tierwalk.plans.catalogue import QUERIES
 from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, project
 
 DIR = "/root/testdata/sf0.001"
@@ -105,3 +107,36 @@ def test_requests_meet_the_types_that_declare_a_member_and_not_all_above(spark,
     assert max(rows) < 3 * asked
     monkeypatch.setattr(resolve, "SHARED", 0)  # every member gone through by the types near its receiver
     assert found() == want
+
+
+def test_the_whole_reading_order_leaves_nothing_out_and_holds_nothing_at_the_driver(spark, monkeypatch):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(6)]
+    cycles = [("c2", "r0"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r1", "s0"), ("s0", "s1"), ("s1", "s0"), ("s1", "c5"), ("t0", "t1"), ("t1", "t0")]
+    fan = [("wide", f"leaf{i}") for i in range(9)] + [("c0", "leaf0")]
+    pairs = chain + cycles + fan
+    g = planted(spark, [(n, n) for n in sorted({x for p in pairs for x in p} | {"alone"})], [])
+    g = Graph(g.files, g.nodes, spark.createDataFrame([("CALLS", a, b, b, a, 1, "RESOLVED", None) for a, b in pairs], EDGES))
+    collected, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    order = analytics.tour(g, None)
+    assert max(collected) < 10
+    rows = collect(order.orderBy("stop"))
+    assert [r.stop for r in rows] == list(range(len(rows))) and sorted(r.file for r in rows) == sorted(r.path for r in collect(g.files))
+    part = {r.file: r.component for r in rows}
+    assert {f: p for f, p in part.items() if f != p} == {"r1": "r0", "r2": "r0", "s1": "s0", "t1": "t0"}
+    stop = {r.file: r.stop for r in rows}
+    assert all(stop[a] < stop[b] for a, b in pairs if part[a] != part[b]) and not any(r.truncated for r in rows)
+    assert rows[0].file == "wide"  # entries first, the widest first
+    collected.clear()
+    monkeypatch.setattr(analytics, "ORDERED", 4)
+    some = collect(analytics.tour(g, 12))
+    assert len(some) == 12 and all(r.truncated for r in some) and max(collected) <= 12
+    collected.clear()
+    QUERIES["reading_order_is_whole"](spark, DIR)
+    assert max(collected, default=0) < 10
