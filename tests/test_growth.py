@@ -5,9 +5,9 @@ from contextlib import contextmanager
 import duckdb
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tierwalk.operators import analytics, resolve, rules
+from tierwalk.operators import analytics, compute, lookups, relational, resolve, rules
 from tierwalk.plans.catalogue import QUERIES
-from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, project
+from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, built, project
 
 DIR = "/root/testdata/sf0.001"
 
@@ -140,3 +140,28 @@ def test_the_whole_reading_order_leaves_nothing_out_and_holds_nothing_at_the_dri
     collected.clear()
     QUERIES["reading_order_is_whole"](spark, DIR)
     assert max(collected, default=0) < 10
+
+
+def moves_of_edges(df):
+    """How many exchanges stand above a read of the edges, one over another."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    most, above = 0, []
+    for line in lines:
+        depth = next((i for i, c in enumerate(line) if c.isalpha()), 0)
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+        if "FileScan" in line and "/edges" in line:
+            most = max(most, sum("Exchange hashpartitioning" in x for _, x in above))
+    return most
+
+
+def test_edges_are_moved_to_their_targets_and_files_join_counts(spark):
+    g = built(spark, DIR)
+    with nothing_broadcast(spark):
+        assert moves_of_edges(relational.file_pairs(g)) == 2
+        assert moves_of_edges(relational.module_edge_tiers(g)) == 3
+        for cells in (relational.cross_language(g), compute.tier_mix(g)):
+            plan = cells._jdf.queryExecution().optimizedPlan().toString()
+            scan = next(line for line in plan.splitlines() if "Join" in line)  # the outermost join has counts below
+            assert "file_path" in scan and "Aggregate" in plan[plan.index(scan) :]
+            assert moves_of_edges(cells) == 4  # edges, their counts, counts to files, counts of languages
+        assert moves_of_edges(lookups.tier_split(g)) == 3  # counts by file alone
