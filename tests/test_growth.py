@@ -7,7 +7,8 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from tierwalk.operators import analytics, compute, lookups, relational, resolve, rules
 from tierwalk.plans.catalogue import QUERIES
-from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, built, project
+from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, built, project, raw_schema
+from tierwalk.streaming.incremental import Store
 
 DIR = "/root/testdata/sf0.001"
 
@@ -165,3 +166,26 @@ def test_edges_are_moved_to_their_targets_and_files_join_counts(spark):
             assert "file_path" in scan and "Aggregate" in plan[plan.index(scan) :]
             assert moves_of_edges(cells) == 4  # edges, their counts, counts to files, counts of languages
         assert moves_of_edges(lookups.tier_split(g)) == 3  # counts by file alone
+
+
+def test_a_store_takes_files_as_rows_as_it_takes_them_as_objects(spark, tmp_path):
+    nodes = [("Class", "A", "A", "a.x"), ("Method", "go", "A::go", "a.x"), ("Class", "B", "B", "b.x"), ("Function", "f", "f", "c.x"), ("Function", "g", "g", "d.x")]
+    edges = [("CALLS", "B", "A::go", "b.x"), ("EXTENDS", "B", "A", "b.x"), ("CALLS", "f", "B::go", "c.x"), ("CALLS", "f", "g", "c.x"), ("CALLS", "g", "f", "d.x")]
+
+    def part(hashes):
+        files = spark.createDataFrame([(p, "x", h, True) for p, h in hashes.items()], FILES)
+        held = spark.createDataFrame([(k, n, q, p, 1, False) for k, n, q, p in nodes if p in hashes], NODES)
+        return Graph(files, held, spark.createDataFrame([(k, s, None, r, p, 1, "RESOLVED", None) for k, s, r, p in edges if p in hashes], EDGES))
+
+    def objects(hashes, removed):
+        rows = [(p, "x", h, True, [(k, n, q, 1, False) for k, n, q, at in nodes if at == p], [(k, s, None, r, 1, "RESOLVED", None) for k, s, r, at in edges if at == p], False) for p, h in hashes.items()]
+        return spark.createDataFrame(rows + [(p, None, None, None, None, None, True) for p in removed], raw_schema() + ", removed boolean")
+
+    rows, whole = Store(spark, str(tmp_path / "rows"), 4), Store(spark, str(tmp_path / "objects"), 4)
+    for batch, (hashes, removed) in enumerate([({"a.x": "1", "b.x": "1", "c.x": "1"}, []), ({"a.x": "1", "d.x": "1"}, ["b.x"])]):
+        gone = spark.createDataFrame([(p,) for p in removed], "path string")
+        assert rows.replace(part(hashes), gone, batch) == whole.apply(objects(hashes, removed), batch) == (3, 2)[batch]
+        assert rows.replace(part(hashes), gone, batch) == 0  # not twice
+        one, other = ({tuple(r[:7]) for r in s.graph().edges.collect()} for s in (rows, whole))
+        assert one == other and any(e[2] for e in one)
+    assert ("CALLS", "f", "g", "g", "c.x", 1, "RESOLVED") in one and ("CALLS", "f", None, "B::go", "c.x", 1, "RESOLVED") in one
