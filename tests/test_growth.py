@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import duckdb
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tierwalk.operators import analytics, compute, lookups, relational, resolve, rules
+from tierwalk.operators import analytics, compute, lookups, relational, resolve, rules, walks
 from tierwalk.plans.catalogue import QUERIES
 from tierwalk.sources.graph import EDGES, FILES, NODES, SQL, TABLES, Graph, built, project, raw_schema
 from tierwalk.streaming.incremental import Store
@@ -189,3 +189,19 @@ def test_a_store_takes_files_as_rows_as_it_takes_them_as_objects(spark, tmp_path
         one, other = ({tuple(r[:7]) for r in s.graph().edges.collect()} for s in (rows, whole))
         assert one == other and any(e[2] for e in one)
     assert ("CALLS", "f", "g", "g", "c.x", 1, "RESOLVED") in one and ("CALLS", "f", None, "B::go", "c.x", 1, "RESOLVED") in one
+
+
+def test_hops_of_candidate_tests_do_not_move_the_edges(spark, monkeypatch):
+    plans, write = [], walks.materialise
+
+    def seen(df, label):
+        if label == "tests-step":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(walks, "materialise", seen)
+    with nothing_broadcast(spark):
+        assert QUERIES["candidate_tests"](spark, DIR).count()
+    assert len(plans) == 2
+    assert all(sum("Exchange hashpartitioning(source_qname" in line for line in p.split("== Initial Plan ==")[-1].splitlines()) == 1 for p in plans)
+    assert all("SelectedBucketsCount" in p for p in plans)
